@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .licenses import scan_licenses
 from .packing import pack
+from .quality import fit_quality, score_quality
 from .token_counts import count_tokens
+from .toxicity import fit_toxicity, score_toxicity
 from .url_filter import filter_urls
 
 #: The rules of the URL query, as host, path, verdict.
@@ -21,6 +23,8 @@ URL_RULES = (
     ("com", "/de/", "block"),
 )
 CONTEXT = 2048
+#: Fixed value: the score from which a text is predicted to be of the kind.
+DECISION = 0.7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +50,28 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def _fold(id_col: str, folds: int):
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
+
+
+def _judged(scored: DataFrame, held: Column) -> DataFrame:
+    return scored.select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= DECISION).cast("int").alias("predicted")
+    )
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), _fold("doc_id", 3) == 1
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), learn=~held, decision=DECISION)
+    return _judged(score_toxicity(docs, model), held)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), _fold("doc_id", 4) == 2
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), learn=~held, decision=DECISION)
+    return _judged(score_quality(docs, model), held)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > CONTEXT)
@@ -56,5 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_license_scan": op2_license_scan,
         "op4_packing": op4_packing,
         "op5_url_filter": op5_url_filter,
+        "op6_toxicity": op6_toxicity,
+        "op7_quality": op7_quality,
         "op8_token_counts": op8_token_counts,
     }
