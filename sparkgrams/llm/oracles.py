@@ -19,8 +19,15 @@ SELECT u.page_id, host, path, rule, coalesce(v, 'allow') AS verdict
 FROM u LEFT JOIN m ON u.page_id = m.page_id AND m.n = 1
 """
 
-_WORDS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"""
-
+OP9 = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0),
+d AS (SELECT q.vec_id AS query_id, n.vec_id AS neighbor_id,
+             CAST(list_sum(list_transform(list_zip(q.b, n.b), lambda p: CASE WHEN p[1] = p[2] THEN 0 ELSE 1 END)) AS INTEGER) AS distance
+      FROM (SELECT * FROM e WHERE vec_id % 100 = 0) q JOIN e n ON q.vec_id <> n.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS n FROM d)
+SELECT query_id, CAST(n AS INTEGER) AS rank, neighbor_id, distance FROM r WHERE n <= 10
+"""
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": OP5}
+    return {"op5_url_filter": OP5, "op9_hamming_topk": OP9}

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import find_contamination
+from .hamming_search import search_codes
 from .licenses import scan_licenses
 from .packing import pack
 from .quality import fit_quality, score_quality
+from .substring_dedup import cut_repeats
 from .token_counts import count_tokens
 from .toxicity import fit_toxicity, score_toxicity
 from .url_filter import filter_urls
@@ -37,6 +40,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -77,12 +84,24 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > CONTEXT)
 
 
+def op9_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return search_codes(vectors, vectors.filter("vec_id % 100 = 0"), 10)
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_license_scan": op2_license_scan,
         "op4_packing": op4_packing,
         "op5_url_filter": op5_url_filter,
         "op6_toxicity": op6_toxicity,
         "op7_quality": op7_quality,
         "op8_token_counts": op8_token_counts,
+        "op9_hamming_topk": op9_hamming_topk,
+        "op10_decontamination": op10_decontamination,
     }
