@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontaminate import find_contamination
 from .hamming_search import search_codes
 from .licenses import scan_licenses
+from .near_dedup import link_near_duplicates
 from .packing import pack
 from .quality import fit_quality, score_quality
 from .substring_dedup import cut_repeats
@@ -49,6 +50,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = link_near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+    return linked.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), size=CONTEXT)
 
@@ -97,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_license_scan": op2_license_scan,
+        "op3_near_dedup": op3_near_dedup,
         "op4_packing": op4_packing,
         "op5_url_filter": op5_url_filter,
         "op6_toxicity": op6_toxicity,

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PACKAGE_DIR = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SLICE_BYTES = 4 << 20
@@ -69,6 +70,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Words of 64 bits in a sieve: 2^24 bits.
+SIEVE_WORDS = 1 << 18
+
+
+def sieve(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose long ``key`` may be among ``keys``: all that are, and
+    few others while the keys are fewer than the sieve's bits. The sieve has a
+    fixed number of bits, so it may be broadcast whatever the number of keys; it
+    spares rows without a partner the shuffle before a join."""
+    h = F.xxhash64(key)
+    word, bit = F.pmod(F.shiftright(h, 6), F.lit(SIEVE_WORDS)), F.expr(f"shiftleft(1L, cast(xxhash64({key}) & 63 as int))")
+    bits = keys.select(word.alias("sieve_word"), bit.alias("sieve_bit")).groupBy("sieve_word").agg(F.bit_or("sieve_bit").alias("sieve_bits"))
+    met = df.withColumn("sieve_word", word).join(F.broadcast(bits), "sieve_word")
+    return met.filter(F.col("sieve_bits").bitwiseAND(bit) != 0).select(df.columns)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the intermediate tables written so far. Call it only when every
     frame that was made from them has been written elsewhere."""
