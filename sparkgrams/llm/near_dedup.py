@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import as_bytes, materialize, pick, session_of, sieve, slices
+from .runtime import as_bytes, materialize, pick, session_of, sieve, slices, without
 from .words import LOWER, hashes, mix, runs
 
 SHINGLE = 5
@@ -231,6 +231,6 @@ def drop_near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, threshold:
     """The documents that are the smallest of their component (and, of repeated
     rows of one id, all); columns stay as they are."""
     found = link_near_duplicates(docs, shingle=shingle, threshold=threshold, id_col=id_col, text_col=text_col)
-    gone = found.filter("not kept").select("rid").dropDuplicates()
+    gone = materialize(found.filter("not kept").select("rid").dropDuplicates(), "gone")
     named = docs.select(F.struct(*docs.columns).alias("row"), _rid(id_col, text_col).alias("rid"))
-    return named.join(gone, "rid", "left_anti").select("row.*")
+    return without(named, gone, "rid").select("row.*")

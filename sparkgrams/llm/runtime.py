@@ -74,16 +74,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 SIEVE_WORDS = 1 << 18
 
 
-def sieve(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose long ``key`` may be among ``keys``: all that are, and
-    few others while the keys are fewer than the sieve's bits. The sieve has a
-    fixed number of bits, so it may be broadcast whatever the number of keys; it
-    spares rows without a partner the shuffle before a join."""
-    h = F.xxhash64(key)
-    word, bit = F.pmod(F.shiftright(h, 6), F.lit(SIEVE_WORDS)), F.expr(f"shiftleft(1L, cast(xxhash64({key}) & 63 as int))")
+def _sieved(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``df`` with a flag ``sieve_met``: true for all rows whose long ``key`` is
+    among ``keys`` and, while the keys are fewer than the sieve's bits, few
+    others. The sieve has a fixed number of bits, so it may be broadcast whatever
+    the number of keys."""
+    h = F.xxhash64(F.col(key).cast("long"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    word = F.pmod(F.shiftright(h, 6), F.lit(SIEVE_WORDS))
     bits = keys.select(word.alias("sieve_word"), bit.alias("sieve_bit")).groupBy("sieve_word").agg(F.bit_or("sieve_bit").alias("sieve_bits"))
-    met = df.withColumn("sieve_word", word).join(F.broadcast(bits), "sieve_word")
-    return met.filter(F.col("sieve_bits").bitwiseAND(bit) != 0).select(df.columns)
+    met = F.coalesce(F.col("sieve_bits").bitwiseAND(bit) != 0, F.lit(False))
+    return df.withColumn("sieve_word", word).join(F.broadcast(bits), "sieve_word", "left").withColumn("sieve_met", met).drop("sieve_word", "sieve_bits")
+
+
+def sieve(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` that may have a partner among ``keys``: it spares the
+    others the shuffle before a join."""
+    return _sieved(df, keys, key).filter("sieve_met").drop("sieve_met")
+
+
+def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose long ``key`` is not among ``keys`` (null keys stay): only rows
+    that the sieve can't tell apart are shuffled."""
+    held = df.select(F.struct(*df.columns).alias("row"), F.col(key).alias("k"))
+    marked = _sieved(held, keys.select(F.col(key).alias("k")), "k")
+    sure, unsure = marked.filter("not sieve_met"), marked.filter("sieve_met")
+    left = unsure.join(keys.select(F.col(key).alias("k")), "k", "left_anti")
+    return sure.select("row.*").unionByName(left.select("row.*"))
 
 
 def release(spark: SparkSession) -> None:
