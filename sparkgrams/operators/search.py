@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import count_grams, matches, ngrams, pad_text, same_grams, similarity
+from ..functions import count_grams, matches, ngrams, pad_text, similarity
 from ..functions.similarity import all_grams
 from ..plans.pruning import enough_shared, jaccard_bound, prefix_length, sizes_fit
 from .corpus import Corpus
@@ -44,6 +44,11 @@ def score(corpus: Corpus, queries: DataFrame, column: str, id_cols: list[str], t
     return scored.filter(matches(F.col("similarity"), threshold)).select(*id_cols, "text", "same", "all", "similarity")
 
 
+def _numbered(k: Column) -> Column:
+    """The k-th occurrence of a gram, as a number."""
+    return F.xxhash64(F.col("gram"), k)
+
+
 def search(corpus: Corpus, text: str, threshold: float, limit: int = 10, warp: float = 2.0, *, double: bool = False) -> DataFrame:
     """``text, similarity`` of the best ``limit`` words, best first, equal ones
     by text. The similarity is a 32-bit float unless ``double``."""
@@ -70,7 +75,7 @@ def similarity_join(corpus: Corpus, threshold: float, warp: float = 2.0, *, stra
 
     ``prefix`` numbers repeated grams, orders each word's grams from rare to
     frequent and joins only on the first few, as many as the threshold needs;
-    ``index`` joins on all. Candidates are then compared by their gram maps.
+    ``index`` joins on all. Candidates are then compared by all their grams.
     """
     arity, bound = corpus.config.arity, jaccard_bound(threshold, warp)
     if strategy == "index" or bound <= 0:
@@ -78,19 +83,27 @@ def similarity_join(corpus: Corpus, threshold: float, warp: float = 2.0, *, stra
         right = corpus.postings.select("gram", F.col("text").alias("b"), F.col("n_chars").alias("b_chars"), F.col("cnt").alias("b_cnt"))
         pairs = left.join(right, "gram").filter("a < b").groupBy("a", "b", "a_chars", "b_chars").agg(F.sum(F.least("a_cnt", "b_cnt")).cast("long").alias("same"))
     else:
-        tokens = corpus.postings.select("text", "n_chars", "gram", F.explode(F.sequence(F.lit(1), F.col("cnt"))).alias("k"))
-        rarity = tokens.groupBy("gram", "k").agg(F.count("*").alias("df"))
-        order = Window.partitionBy("text").orderBy("df", "gram", "k")
-        first = tokens.join(rarity, ["gram", "k"]).withColumn("at", F.row_number().over(order))
-        first = first.filter(F.col("at") <= prefix_length(count_grams(F.col("n_chars"), arity), bound)).select("gram", "k", "text", "n_chars")
-        left = first.select("gram", "k", F.col("text").alias("a"), F.col("n_chars").alias("a_chars"))
-        right = first.select("gram", "k", F.col("text").alias("b"), F.col("n_chars").alias("b_chars"))
-        fit = sizes_fit(count_grams(F.col("a_chars"), arity), count_grams(F.col("b_chars"), arity), bound)
-        near = left.join(right, ["gram", "k"]).filter((F.col("a") < F.col("b")) & fit).select("a", "b", "a_chars", "b_chars").distinct()
-        maps = corpus.postings.groupBy("text").agg(F.map_from_entries(F.collect_list(F.struct("gram", "cnt"))).alias("grams"))
-        near = near.join(maps.select(F.col("text").alias("a"), F.col("grams").alias("ga")), "a")
-        near = near.join(maps.select(F.col("text").alias("b"), F.col("grams").alias("gb")), "b")
-        pairs = near.select("a", "b", "a_chars", "b_chars", same_grams(F.col("ga"), F.col("gb")).alias("same"))
+        # numbered grams make a multiset a set: what two words share is an intersection
+        tokens = corpus.postings.select("text", "n_chars", F.explode(F.transform(F.sequence(F.lit(1), F.col("cnt")), _numbered)).alias("token"))
+        rarity = tokens.groupBy("token").agg(F.count("*").alias("df"))
+        ordered = tokens.join(rarity, "token").groupBy("text", "n_chars").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+        size = count_grams(F.col("n_chars"), arity)
+        held = ordered.select(F.xxhash64("text").alias("id"), "text", "n_chars", size.alias("size"), F.col("t.token").alias("tokens"))
+        first = held.select("id", "size", F.posexplode(F.slice("tokens", F.lit(1), prefix_length(F.col("size"), bound).cast("int"))).alias("at", "token"))
+        left = first.select("token", F.col("id").alias("ia"), F.col("size").alias("sa"), F.col("at").alias("pa"))
+        right = first.select("token", F.col("id").alias("ib"), F.col("size").alias("sb"), F.col("at").alias("pb"))
+        # what stands after both places bounds what the two can still share
+        rest = F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb"))
+        fit = sizes_fit(F.col("sa"), F.col("sb"), bound) & enough_shared(rest, F.col("sa"), F.col("sb"), bound)
+        near = left.join(right, "token").filter((F.col("ia") < F.col("ib")) & fit).select("ia", "ib").distinct()
+        one = held.select(F.col("id").alias("ia"), F.col("text").alias("x"), F.col("n_chars").alias("xc"), F.col("tokens").alias("xt"))
+        two = held.select(F.col("id").alias("ib"), F.col("text").alias("y"), F.col("n_chars").alias("yc"), F.col("tokens").alias("yt"))
+        pairs = near.join(one, "ia").join(two, "ib").withColumn("same", F.size(F.array_intersect("xt", "yt")).cast("long"))
+        swap = F.col("x") > F.col("y")
+        pairs = pairs.select(
+            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
+            F.when(swap, F.col("yc")).otherwise(F.col("xc")).alias("a_chars"), F.when(swap, F.col("xc")).otherwise(F.col("yc")).alias("b_chars"), "same",
+        )
         pairs = pairs.filter(enough_shared(F.col("same"), count_grams(F.col("a_chars"), arity), count_grams(F.col("b_chars"), arity), bound))
     scored = pairs.withColumn("all", all_grams(F.col("a_chars"), F.col("b_chars"), F.col("same"), arity))
     scored = scored.withColumn("similarity", similarity(F.col("same"), F.col("all"), warp))
