@@ -42,8 +42,9 @@ from .runtime import as_bytes, materialize, pick, session_of, slices
 from .words import hashes, mix, runs, window_min
 
 WINDOW = 50
-#: Stretches of words in a group, at most; larger groups get a longer prefix.
-GROUP_LIMIT = 1000
+#: Stretches of words in a group, at most (some 1.3 million words, 10 MB); groups
+#: that would take more memory get a longer prefix.
+GROUP_LIMIT = 20_000
 #: Words of the groups whose trees are built at once.
 TREE_WORDS = 1 << 20
 #: Windows of one document anchored at once.
