@@ -9,6 +9,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 
 PACKAGE_DIR = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SLICE_BYTES = 4 << 20
+#: Paths of intermediate tables, by what they were made for.
 _scratch: dict[str, list[str]] = {}
+_purpose = [""]
 
 
 def session_of(df: DataFrame) -> SparkSession:
@@ -66,7 +69,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkgrams/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _scratch.setdefault(_purpose[-1], []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -103,12 +106,22 @@ def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return sure.select("row.*").unionByName(left.select("row.*"))
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the intermediate tables written so far. Call it only when every
-    frame that was made from them has been written elsewhere."""
+@contextmanager
+def tables_for(purpose: str) -> Iterator[None]:
+    """Tables that are written inside can be released alone."""
+    _purpose.append(purpose)
+    try:
+        yield
+    finally:
+        _purpose.pop()
+
+
+def release(spark: SparkSession, purpose: str = "") -> None:
+    """Delete the intermediate tables written so far (for a purpose). Call it
+    only when every frame that was made from them has been written elsewhere."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _scratch.pop(spark.sparkContext.applicationId, []):
+    for path in _scratch.pop(purpose, []):
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)
 
