@@ -6,6 +6,9 @@ gives the same columns; the last gives the pieces of packed sequences.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +17,26 @@ from sparkgrams.llm.near_dedup import drop_near_duplicates
 from sparkgrams.llm.packing import pack
 from sparkgrams.llm.quality import fit_quality, score_quality
 from sparkgrams.llm.queries import CONTEXT, DECISION, table, tokenizer
-from sparkgrams.llm.runtime import materialize, without
+from sparkgrams.llm.runtime import materialize, release, tables_for, without
 from sparkgrams.llm.substring_dedup import remove_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def stage(fn: Callable) -> Callable:
+    """A stage's input has been written, so the tables that the stages before
+    made on their way are free to go."""
+
+    @wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, "stage")
+        with tables_for("stage"):
+            return fn(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
@@ -28,23 +45,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without(docs, materialize(rejected, "rejected"), "doc_id").select(*COLUMNS)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest id stays."""
     return drop_near_duplicates(docs).select(*COLUMNS)
 
 
+@stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that stand in a document of a smaller id are cut out."""
     cut = remove_repeats(docs)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@stage
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     found = find_contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").dropDuplicates()
     return without(docs, materialize(found, "leaks"), "doc_id").select(*COLUMNS)
 
 
+@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, tokenizer("byte_bpe_50k.json"), size=CONTEXT)
 
@@ -57,13 +78,13 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: No stage but the near-duplicates' and passages' brute force is SQL; the tests
-#: hold the rows against brute-force versions.
+#: SQL can't express the classifier or the tokenizer; the tests hold each stage
+#: against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for name, step in STAGES:
+        docs = materialize(step(spark, docs, sf_dir), name)
     return docs
