@@ -47,13 +47,15 @@ def ship(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: the session's
-    ``spark.checkpoint.dir``. Only where that is unset (tests, a single
-    machine) a folder under the warehouse is used."""
+    ``spark.checkpoint.dir``. Only where that is unset one of its own is used:
+    on a single machine a temporary folder, else one in the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+    if not base and spark.sparkContext.master.startswith("local["):
         base = os.path.join(tempfile.gettempdir(), f"sparkgrams-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", base)
         atexit.register(_remove_local, base)
+    elif not base:
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_sparkgrams"
     return base.rstrip("/")
 
 
