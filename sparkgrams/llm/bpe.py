@@ -18,8 +18,10 @@ from array import array
 
 import regex
 
+from .runtime import hold
+
 #: Chunks a worker remembers before it starts anew; some 150 bytes each.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 200_000
 #: ASCII characters that are neither letters, digits nor white space.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: White space of the tokenizers' own regular expressions (Unicode White_Space).
@@ -35,6 +37,7 @@ def encoder(path: str) -> Encoder:
     """This worker's encoder for a tokenizer file."""
     if path not in _by_path:
         _by_path[path] = Encoder(path)
+        hold(_by_path.clear)
     return _by_path[path]
 
 

@@ -145,7 +145,7 @@ def pack(
             kinds = [kind, *[pa.int64()] * 6, *[pa.binary()] * with_ids]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, remembers=True):
             kind = batch.column(id_col).type
             for key, raw in zip(batch.column(id_col).to_pylist(), as_bytes(batch.column(text_col)), strict=True):
                 doc = _Doc(key, encoder.ids(raw.decode()) + end)

@@ -8,7 +8,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -21,6 +21,9 @@ SLICE_BYTES = 4 << 20
 #: Paths of intermediate tables, by what they were made for.
 _scratch: dict[str, list[str]] = {}
 _purpose = [""]
+_held: list[Callable[[], None]] = []
+#: Rows that go to a Python worker at once; texts are long.
+BATCH_ROWS = 2000
 
 
 def session_of(df: DataFrame) -> SparkSession:
@@ -30,7 +33,11 @@ def session_of(df: DataFrame) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors once per Spark application."""
+    """Send the package to the executors once per Spark application, and bound
+    the session's Arrow batches."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows)) > BATCH_ROWS or int(spark.conf.get(rows)) <= 0:
+        spark.conf.set(rows, str(BATCH_ROWS))
     context = spark.sparkContext
     if getattr(context, "_sparkgrams_shipped", False):
         return
@@ -128,9 +135,18 @@ def release(spark: SparkSession, purpose: str = "") -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def hold(drop: Callable[[], None]) -> None:
+    """Tell how to drop what a worker remembers between tasks."""
+    _held.append(drop)
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES, *, remembers: bool = False) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each slice holds about ``limit`` bytes of text (one
-    row at least)."""
+    row at least). Workers serve one operator after another: unless this one
+    ``remembers``, what others have left in the worker is dropped first."""
+    while _held and not remembers:
+        _held.pop()()
+    pa.default_memory_pool().release_unused()
     for batch in batches:
         if batch.num_rows == 0:
             continue

@@ -93,7 +93,7 @@ def count_tokens(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.encoder(tokenizer)
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, remembers=True):
             texts = as_bytes(batch.column(text_col))
             tokens = np.empty(len(texts), dtype=np.int64)
             fits = [np.empty(len(texts), dtype=np.int64) for _ in budgets]
