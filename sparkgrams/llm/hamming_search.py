@@ -132,7 +132,8 @@ def _round(open_: DataFrame, index: DataFrame, starts: list[int], widths: list[i
         own = segment(F.col("qcode"), start, width)
         per_segment.append(F.transform(F.array(*map(F.lit, masks)).cast("array<bigint>"), _flip(own, n)))
     probes = open_.select("qid", "qcode", F.explode(F.flatten(F.array(*per_segment))).alias("p")).select("qid", "qcode", "p.seg", "p.value")
-    met = probes.join(index, ["seg", "value"])
+    # the values looked up are many more than a plan's estimate of them: no broadcast
+    met = probes.hint("merge").join(index.hint("merge"), ["seg", "value"])
     apart = F.array(*[F.bit_count(segment(F.col("qcode"), s, w).bitwiseXOR(segment(F.col("code"), s, w))) for s, w in zip(starts, widths, strict=True)])
     first = F.array_position(apart, F.array_min(apart)) - 1
     once = met.filter((F.array_min(apart) == radius) & (first == F.col("seg")))
