@@ -8,8 +8,8 @@ that differs in at most d // segments bits; so after round r all codes within
 ``segments * (r + 1) - 1`` have been met and verified, and a query whose kth
 distance is no larger is done. Rounds go on for the queries that aren't.
 
-Where a round would look up more values than there are codes, looking further
-costs more than reading all codes, and the remaining queries are compared with
+Where looking up a round's values would cost more than reading all codes (see
+``PROBE_COST``), the remaining queries are compared with
 all codes in blocks instead: the same exact result by the other way.
 
 Rows with equal codes are one entry of the index, with the ids that can be among
@@ -39,6 +39,10 @@ from .runtime import materialize, pick, session_of
 
 #: Bits of a code's word; longer codes are several words.
 WORD = 64
+#: Codes that are read and compared in the time that one value takes to be made,
+#: shuffled and joined (cautiously: a value takes some 3 microseconds, a code a
+#: few nanoseconds).
+PROBE_COST = 64
 
 
 def code_of(vector: Column, bits: int) -> Column:
@@ -99,7 +103,7 @@ def search_codes(
     best = asked.select("qid", "qcode", F.array().cast(state).alias("best"), F.lit(False).alias("done"))
     radius = 0
     while todo:
-        all_codes = radius > max(widths) or sum(comb(w, radius) for w in widths) > n_codes
+        all_codes = radius > max(widths) or sum(comb(w, radius) for w in widths) * PROBE_COST > n_codes
         open_ = best.filter("not done")
         asks = open_.select("qid", "qcode")
         found = _against_all(asks, codes, k, query_block) if all_codes else _round(asks, index, starts, widths, radius)
