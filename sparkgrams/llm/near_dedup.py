@@ -21,6 +21,14 @@ components are compared with each other: all of them in a region within the
 limit, the next ``NEIGHBOURS`` in order in a region that no level could split.
 No step makes pairs of documents that are known to be connected.
 
+What is still apart in a first-level region over the limit is joined exactly, all
+such documents at once: two sets that are similar enough share a shingle among the
+rarest of each (prefix filter), so each document is listed under those, and
+documents of different components that meet there are candidates. Rarity comes
+from a table of ``BUCKETS`` counts; any order that is the same for all documents
+is right, a count shared by chance only costs candidates. So the depth decides
+what a pair costs, never whether it is seen.
+
 Equal sets are one class, represented by its smallest document; only
 representatives enter the forest, so a text with any number of copies costs no
 more than one. Candidates are confirmed by counting the shingles the two full
@@ -60,6 +68,10 @@ LEVEL = 4
 LEVELS = 4
 REGION_LIMIT = 32
 NEIGHBOURS = 8
+#: Counts that tell rare shingles from common ones.
+BUCKETS = 1 << 20
+#: Documents listed under a shingle that one task compares with others.
+LISTED = 1024
 
 _SEEDS = np.random.default_rng(20).integers(1, 1 << 63, size=(2, TREES * LEVEL), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -145,6 +157,75 @@ def _confirm(edges: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return held.filter(shared * 100 >= (F.col("an") + F.col("bn") - shared) * threshold).select("a", "b").dropDuplicates(["a", "b"])
 
 
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (mix(shingles) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        flat = batch.column("s").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        bucket, c = np.unique(_bucket(flat), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(c.astype(np.int64))], ["bucket", "c"])
+
+
+def _prefixes(counts: np.ndarray, threshold: int):
+    """A set's rarest shingles: as many as a partner of any allowed size has to
+    meet, the first ``shown`` of them where the partner is no smaller."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shown, chosen, offsets = [], [], [0]
+            for found in batch.column("s"):
+                s = found.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                n = len(s)
+                least = -(-threshold * n // 100)
+                shown.append(n - -(-2 * threshold * n // (100 + threshold)) + 1)
+                chosen.append(s[np.lexsort((s, counts[_bucket(s)]))[: n - least + 1]])
+                offsets.append(offsets[-1] + len(chosen[-1]))
+            flat = np.concatenate(chosen).view(np.int64) if chosen else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("id", "n", "comp")), pa.array(shown, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))],
+                ["id", "n", "comp", "shown", "prefix"],
+            )
+
+    return run
+
+
+def _mixed(regions: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of regions that hold more than one component, with ``comp``."""
+    named = regions.select("key", "id", "n", "c", "hub").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    return named.join(mixed, "key")
+
+
+def _across(apart: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Candidates (a, an, b, bn) among documents (id, n, comp): every pair of
+    different components that is similar enough, and few others."""
+    kind = dict(apart.dtypes)["id"]
+    held = materialize(sets.join(apart, "id").select("id", "n", "comp", "s"), "apart")
+    tally = held.mapInArrow(_tally, "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
+    counts = np.zeros(BUCKETS, dtype=np.int64)
+    counts[tally.column("bucket").to_numpy()] = tally.column("c").to_numpy()
+    listed = held.mapInArrow(_prefixes(counts, threshold), f"id {kind}, n long, comp {kind}, shown long, prefix array<long>")
+    listed = materialize(listed.select("id", "n", "comp", "shown", F.posexplode("prefix").alias("at", "t")), "listed")
+
+    # most documents under a shingle may be of one component: these don't meet
+    by_comp = listed.groupBy("t", "comp").agg(F.count("*").alias("c"), F.sum((F.col("at") < F.col("shown")).cast("long")).alias("shown"))
+    tokens = by_comp.groupBy("t").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("shown").alias("shown"))
+    tokens = tokens.filter("comps > 1 and shown > 0").select("t", "main", F.ceil(F.col("shown") / LISTED).cast("int").alias("parts"))
+    rows = listed.join(tokens, "t").withColumn("of_main", F.col("comp") == F.col("main"))
+    left = rows.filter(F.col("at") < F.col("shown")).select(
+        "t", "of_main", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), F.col("at").alias("aat")
+    )
+    sides = F.when(F.col("of_main"), F.array(F.lit(False))).otherwise(F.array(F.lit(True), F.lit(False)))
+    right = rows.select("t", "parts", F.explode(sides).alias("of_main"), F.col("id").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"), F.col("at").alias("bat"))
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    # what can still be shared from the place on where they meet
+    rest = F.least(F.col("an") - F.col("aat"), F.col("bn") - F.col("bat"))
+    met = left.join(right, ["t", "of_main", "part"]).filter("ac <> bc and (an < bn or an = bn and a < b)")
+    return met.filter(rest * (100 + threshold) >= (F.col("an") + F.col("bn")) * threshold).select("a", "an", "b", "bn")
+
+
 def link_near_duplicates(
     docs: DataFrame,
     *,
@@ -191,10 +272,9 @@ def link_near_duplicates(
 
     leaf = None
     for found in leaves:
-        part = found.select("key", "id", "n", "c", "hub").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        part = _mixed(found, labels)
         leaf = part if leaf is None else leaf.unionByName(part)
-    mixed = leaf.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    leaf = materialize(leaf.join(mixed, "key"), "mixed")
+    leaf = materialize(leaf, "mixed")
     small = leaf.filter(F.col("c") <= region_limit)
     left = small.select("key", F.col("id").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
     right = small.select("key", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"))
@@ -208,7 +288,15 @@ def link_near_duplicates(
         across = across.unionByName(pairs.select("a", "an", F.col("x.id").alias("b"), F.col("x.n").alias("bn")))
     more = materialize(_confirm(_alike(across, threshold), sets, threshold), "links")
     if not more.isEmpty():
-        labels = connected_components(links.unionByName(more))
+        links = links.unionByName(more)
+        labels = connected_components(links)
+
+    # those whom the levels left apart, though they share a first one
+    apart = materialize(_mixed(levels[0].filter(F.col("c") > region_limit), labels).select("id", "n", "comp").dropDuplicates(["id"]), "apart")
+    if not apart.isEmpty():
+        more = materialize(_confirm(_alike(_across(apart, sets, threshold), threshold), sets, threshold), "links")
+        if not more.isEmpty():
+            labels = connected_components(links.unionByName(more))
 
     firsts = classes.select("print", F.col("id").alias("least")).join(labels.select(F.col("id").alias("least"), "comp"), "least", "left")
     out = profile.select("id", "rid", "n", "print").join(firsts, "print", "left")

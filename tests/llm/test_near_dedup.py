@@ -33,6 +33,21 @@ def test_against_brute_force(spark, limit):
     assert got(df, shingle=4, region_limit=limit) == near_duplicates(rows, 4)
 
 
+def test_boilerplate_hides_no_pair(spark):
+    r = random.Random(3)
+    common, texts = [f"c{n}" for n in range(173)], []
+    for n in range(480):
+        own = [f"w{r.randrange(10**9)}" for _ in range(27)]
+        texts.append(" ".join(common + own))
+        if n % 12 == 0:
+            texts.append(" ".join(common + own[:6] + [f"w{r.randrange(10**9)}" for _ in range(21)]))
+    r.shuffle(texts)
+    rows = list(enumerate(texts))
+    exact = near_duplicates(rows, 4)
+    assert sum(c != i for i, (_, c) in exact.items()) == 40
+    assert got(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4, region_limit=3) == exact
+
+
 def test_whole_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert got(docs, shingle=4) == near_duplicates([tuple(r) for r in docs.select("doc_id", "text").collect()], 4)
