@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes what the one before kept, in the columns of ``documents``, and
-gives the same columns; the last gives the pieces of packed sequences.
+gives the same columns; the last gives the pieces of packed sequences with
+their token ids.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, tokenizer("byte_bpe_50k.json"), size=CONTEXT)
+    return pack(docs, tokenizer("byte_bpe_50k.json"), size=CONTEXT, with_ids=True)
 
 
 STAGES = [

@@ -2,6 +2,8 @@ from collections import defaultdict
 
 import corpus_pipeline
 from helpers import best_windows, near_duplicates, repeats
+from sparkgrams.llm import bpe
+from sparkgrams.llm.queries import tokenizer
 from test_decontaminate import words
 
 
@@ -34,3 +36,14 @@ def test_stages_against_brute_force(spark, sf_dir):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_packed_ids(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    encoder = bpe.encoder(tokenizer("byte_bpe_50k.json"))
+    pieces = defaultdict(list)
+    for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect():
+        assert len(r.ids) == 4 * r.length
+        pieces[r.doc_id].append((r.start, bytes(r.ids)))
+    found = {i: b"".join(ids for _, ids in sorted(held)) for i, held in pieces.items()}
+    assert found == {r.doc_id: encoder.ids(r.text or "") + (1).to_bytes(4, "little") for r in docs.collect()}
