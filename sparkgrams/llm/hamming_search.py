@@ -171,7 +171,7 @@ def _compare(ids: np.ndarray, words: np.ndarray, k: int):
             for qid, word in zip(ids.tolist(), words, strict=True):
                 apart = np.bitwise_count(code ^ word).sum(axis=1)
                 # its own row aside, k + 1 codes have k ids at least
-                last = np.partition(apart, k)[k] if len(apart) > k else 255
+                last = np.partition(apart, k)[k] if len(apart) > k else apart.max(initial=0)
                 for at in np.flatnonzero(apart <= last).tolist():
                     out += [(qid, int(apart[at]), i) for i in held[at]]
             columns = list(zip(*out, strict=True)) or [[], [], []]

@@ -42,3 +42,10 @@ def test_edge_rows(spark):
     df = spark.createDataFrame(rows, SCHEMA).withColumn("code", F.lit("clash")).withColumn("qid", F.lit(0))
     assert got(search_codes(df, df.filter("vec_id = 4"), 9)) == {(4, 1): (1, 0), (4, 2): (5, 0), (4, 3): (1, 1)}
     assert got(search_codes(df.limit(0), df, 3)) == {} == got(search_codes(df, df.limit(0), 3))
+
+
+def test_small_table_of_long_vectors(spark):
+    r = random.Random(768)
+    rows = [(n, [r.choice((-1.0, 1.0)) for _ in range(768)]) for n in range(6)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert got(search_codes(df, df, 10)) == brute(rows, rows, 10)
