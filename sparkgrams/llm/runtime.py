@@ -99,10 +99,12 @@ def _sieved(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.withColumn("sieve_word", word).join(F.broadcast(bits), "sieve_word", "left").withColumn("sieve_met", met).drop("sieve_word", "sieve_bits")
 
 
-def sieve(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+def sieve(df: DataFrame, keys: DataFrame, key: str, *, split: bool = False) -> DataFrame:
     """Rows of ``df`` that may have a partner among ``keys``: it spares the
-    others the shuffle before a join."""
-    return _sieved(df, keys, key).filter("sieve_met").drop("sieve_met")
+    others the shuffle before a join. With ``split`` all rows, told apart by
+    ``sieve_met``."""
+    marked = _sieved(df, keys, key)
+    return marked if split else marked.filter("sieve_met").drop("sieve_met")
 
 
 def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:

@@ -2,30 +2,35 @@
 
 A window of ``window`` words is a repeat where its words also stand in a document
 of a smaller id. The suffixes that can begin a repeat are dealt to groups that
-fit in memory, and each group's suffix tree, cut at the window's depth, is built
-alone: suffixes below one deep internal node begin with the same window, so all
-but those of the node's smallest id are repeats, and runs of them are the
-maximal repeats.
-
-How suffixes are dealt. Every window has an anchor, the word run of
-``window // 3`` words with the least hash in it: equal windows have equal
-anchors. Neighbouring windows mostly share theirs, and so travel as one stretch
-of words. An anchor that no other document has begins no group; neither do
-whole copies of a document, which are folded into its smallest id first. Groups
-are named by a prefix of variable length: the anchor alone while its group stays
-within ``group_limit`` stretches, else the whole window. At that full length a
-group is one node of the tree, for which the smallest id is all that matters; it
-is aggregated before it is shuffled, so that a passage in a third of all
-documents makes no large group.
-
-Words are ``[^\\x20\\x09-\\x0D]+`` and compared by 64-bit hashes, whole windows of
-them; windows count as equal if all their words' hashes are.
+fit in memory by a prefix of variable length, and each group's suffix tree is
+built alone: below an internal node of depth ``window`` or more stand suffixes
+that share so many words, so all but those of the node's smallest id are repeats,
+as far as the node is deep.
+
+How suffixes are dealt. A window has, for each prefix length, an anchor: its run
+of so many words with the least hash. Equal windows have equal anchors, and
+neighbouring windows mostly share theirs, so they travel as one stretch of words
+instead of one by one. Prefixes begin with a third of the window. An anchor that
+no other document has begins no group.
+
+Hot passages. Whole copies of a document are folded into the smallest id first.
+In each group stretches of equal words are one class: what is true of the class's
+smallest id is found once, and all its other members are repeats as a whole. A
+group that still has more than ``group_limit`` classes is dealt again by a longer
+prefix (halfway to the window, and so on); stretches that only share the shorter
+one drop out there. At the window's full length a class is a node of the tree.
+So the limit bounds a group's memory, and a passage in a third of all documents
+costs each of them a few rows on each length, whatever its length or number.
+
+Words are ``[^\\x20\\x09-\\x0D]+`` and compared by 64-bit hashes, all words of a
+window; stretches are equal if 128-bit hashes of them are.
 
 Defined results: a null or empty text has no words; texts shorter than the
-window keep every word; repeated rows of one id are one document and take
-nothing from each other; rows with a null id are kept whole and remove nothing
-elsewhere; an empty table gives an empty result; other columns are ignored (or
-passed through by ``remove_repeats``).
+window keep every word; repeated rows of one id, and rows that share an id but
+not a text, take nothing from each other; rows with a null id are kept whole and
+remove nothing elsewhere; an empty table gives an empty result; other columns are
+ignored (or passed through by ``remove_repeats``). Texts of any length are read
+whole.
 """
 
 from __future__ import annotations
@@ -35,29 +40,38 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import as_bytes, materialize, pick, session_of, slices
-from .words import hashes, mix, runs, window_min
+from .runtime import as_bytes, materialize, pick, session_of, sieve, slices
+from .words import hashes, runs, window_min
 
 WINDOW = 50
-#: Stretches of words in a group, at most (some 1.3 million words, 10 MB); groups
-#: that would take more memory get a longer prefix.
-GROUP_LIMIT = 20_000
+#: Classes of stretches in a group, at most: some 250,000 words, 2 MB.
+GROUP_LIMIT = 4000
 #: Words of the groups whose trees are built at once.
 TREE_WORDS = 1 << 20
 #: Windows of one document anchored at once.
 BLOCK = 1 << 22
+#: Rows that go on to Spark at once.
+ROWS = 10_000
 
 _ANCHORS = pa.struct([("key", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
-_RUN = "struct<at:int,n:int>"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64())]))
 
 
-def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per run of neighbouring windows with one anchor: the anchor's hash, the
-    first window's start and how many they are."""
-    size = window // 3
+def prefix_lengths(window: int) -> list[int]:
+    """Anchors' lengths, each halfway from the one before to the window."""
+    out = [max(1, window // 3)]
+    while window - out[-1] > window // 8:
+        out.append((out[-1] + window + 1) // 2)
+    return [*out, window] if out[-1] < window else out
+
+
+def anchors(h: np.ndarray, window: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per run of neighbouring windows with one anchor of ``size`` words: the
+    anchor's hash, the first window's start and how many they are."""
     keys, ats, ns = [], [], []
     for base in range(0, max(len(h) - window + 1, 0), BLOCK):
         part = h[base : base + BLOCK + window - 1]
@@ -74,33 +88,67 @@ def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.concatenate(keys), np.concatenate(ats), np.concatenate(ns)
 
 
-def suffix_nodes(symbols: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """For each start the number of the suffix tree's node at ``depth`` above it:
-    equal for suffixes that share their first ``depth`` symbols. Nodes are named
-    level by level, each twice as deep as the one before."""
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    level = 1
-    while level < depth:
-        step = min(level, depth - level)
-        pair = rank[:-step] * (int(rank.max(initial=0)) + 1) + rank[step:]
-        # past the end no suffix is asked for
-        rank = np.append(np.unique(pair, return_inverse=True)[1].astype(np.int64), np.zeros(step, np.int64))
-        level += step
-    return rank[starts]
+class SuffixTree:
+    """The suffixes of many stretches of words, sorted, with the number of words
+    that neighbours share: its internal nodes are the intervals of suffixes that
+    share more words than those around them.
 
+    ``symbols`` holds the stretches one after the other, ``lengths`` theirs.
+    Suffixes are named level by level, by twice as many words each time; those
+    names order them and tell what they share.
+    """
 
-def _profile(window: int, text_col: str):
+    def __init__(self, symbols: np.ndarray, lengths: np.ndarray, starts: np.ndarray):
+        ends = np.cumsum(lengths)
+        # an end of its own behind each stretch: no suffix reaches into the next
+        rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64) + len(lengths)
+        rank = np.insert(rank, ends, np.arange(len(lengths)))
+        starts = starts + np.repeat(np.arange(len(lengths)), lengths)[starts]
+        names, size = [rank], 1
+        while size < lengths.max(initial=1) + 1:
+            after = np.append(rank[size:], np.full(min(size, len(rank)), -1)) + 1
+            rank = np.unique(rank * (int(rank.max()) + 2) + after[: len(rank)], return_inverse=True)[1].astype(np.int64)
+            names.append(rank)
+            size *= 2
+        self.order = np.argsort(rank[starts], kind="stable")
+        place = starts[self.order]
+        self.shared = np.zeros(len(place), np.int64)  # with the suffix before
+        for level in range(len(names) - 1, -1, -1):
+            a, b = place[:-1] + self.shared[1:], place[1:] + self.shared[1:]
+            inside = (a < len(rank)) & (b < len(rank))
+            same = np.zeros(len(a), bool)
+            same[inside] = names[level][a[inside]] == names[level][b[inside]]
+            self.shared[1:] += same << level
+
+    def nodes(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each suffix, in sorted order, the number of its highest node of
+        at least ``depth`` words (alone in one, it is a leaf); per node the words
+        that all its suffixes share (of a leaf: 0)."""
+        new = self.shared < depth
+        new[:1] = True
+        node = np.cumsum(new) - 1
+        deep = np.zeros(int(new.sum()), np.int64)
+        inner = np.flatnonzero(~new)
+        if len(inner):
+            deep += np.iinfo(np.int64).max
+            np.minimum.at(deep, node[inner], self.shared[inner])
+            deep[deep == np.iinfo(np.int64).max] = 0
+        return node, deep
+
+
+def _profile(window: int):
     """Per row: its words' number, digest and anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
+        size = prefix_lengths(window)[0]
+        for batch in slices(batches, "text"):
             counts, digests, offsets, parts = [], [], [0], []
-            for raw in as_bytes(batch.column(text_col)):
+            for raw in as_bytes(batch.column("text")):
                 words = raw.split()
                 counts.append(len(words))
                 digests.append(sha256(b" ".join(words)).digest())
                 if len(words) >= window:
-                    parts.append(anchors(hashes(words), window))
+                    parts.append(anchors(hashes(words), window, size))
                     offsets.append(offsets[-1] + len(parts[-1][0]))
                 else:
                     offsets.append(offsets[-1])
@@ -114,34 +162,61 @@ def _profile(window: int, text_col: str):
     return run
 
 
-def _stretches(window: int, text_col: str):
-    """Per anchored run of a document: its group's key and its words; for a
-    large group each window alone, by a key of its own and no words."""
+#: A stretch: its group, its words' hash, its document, what it was cut from (a
+#: row or a stretch), where there it begins, its windows and words.
+_NAMES = ["key", "d1", "d2", "id", "o1", "o2", "at", "n", "words"]
+
+
+def _schema(kind: str) -> str:
+    return f"key long, d1 long, d2 long, id {kind}, o1 long, o2 long, at int, n int, words binary"
+
+
+def _stretch_row(key: int, h: np.ndarray, ident, o1: int, o2: int, at: int, n: int) -> tuple:
+    words = h.tobytes()
+    digest = xxhash.xxh3_128_digest(words)
+    return (key, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), ident, o1, o2, at, n, words)
+
+
+def _rows(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 3 + [kind] + [pa.int64()] * 2 + [pa.int32()] * 2 + [pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], _NAMES)
+
+
+def _stretches(window: int):
+    """The anchored runs of a document's windows that others may share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "deep", "id", "rid", "at", "n", "words"]
-        kinds = [pa.int64(), pa.int64(), None, pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        for batch in slices(batches, text_col):
-            kinds[2] = batch.column("id").type
-            rows: list[tuple] = []
-            meta = zip(batch.column("id").to_pylist(), batch.column("rid").to_pylist(), batch.column("runs").to_pylist(), as_bytes(batch.column(text_col)), strict=True)
-            for key, rid, found, raw in meta:
+        for batch in slices(batches, "text"):
+            kind, rows = batch.column("id").type, []
+            meta = zip(batch.column("id").to_pylist(), batch.column("rid").to_pylist(), batch.column("runs").to_pylist(), as_bytes(batch.column("text")), strict=True)
+            for ident, rid, found, raw in meta:
                 h = hashes(raw.split())
-                if any(r["large"] for r in found):
-                    whole = runs(h, window)
-                    other = runs(mix(h ^ np.uint64(0x5BF03635)), window)
                 for r in found:
-                    at, n = r["at"], r["n"]
-                    if r["large"]:
-                        a, b = whole[at : at + n].view(np.int64).tolist(), other[at : at + n].view(np.int64).tolist()
-                        rows += [(x, y, key, rid, at + o, 1, None) for o, (x, y) in enumerate(zip(a, b, strict=True))]
-                    else:
-                        rows.append((r["key"], None, key, rid, at, n, h[at : at + n + window - 1].tobytes()))
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    rows.append(_stretch_row(r["key"], h[r["at"] : r["at"] + r["n"] + window - 1], ident, rid, 0, r["at"], r["n"]))
+                if len(rows) > ROWS:
+                    yield _rows(rows, kind)
+                    rows = []
+            if rows:
+                yield _rows(rows, kind)
+
+    return run
+
+
+def _split(window: int, size: int):
+    """Stretches of classes, cut by anchors of a longer prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind, rows = batch.column("id").type, []
+            for d1, d2, ident, words in zip(*(batch.column(c).to_pylist() for c in ("d1", "d2", "id", "words")), strict=True):
+                h = np.frombuffer(words, np.uint64)
+                for key, at, n in zip(*(x.tolist() for x in (anchors(h, window, size)[0].view(np.int64), *anchors(h, window, size)[1:])), strict=True):
+                    rows.append(_stretch_row(key, h[at : at + n + window - 1], ident, d1, d2, at, n))
+                if len(rows) > ROWS:
+                    yield _rows(rows, kind)
                     rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                yield _rows(rows, kind)
 
     return run
 
@@ -151,42 +226,42 @@ def _trees(window: int, tree_words: int):
     gives the runs of repeats of each stretch."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch | None:
-        lengths = np.array([len(r[5]) // 8 for r in rows])
-        counts = np.array([r[4] for r in rows])
-        symbols = np.frombuffer(b"".join(r[5] for r in rows), np.uint64)
-        begin = np.cumsum(lengths) - lengths
+        lengths = np.array([len(r[4]) // 8 for r in rows])
+        counts = lengths - window + 1
+        symbols = np.frombuffer(b"".join(r[4] for r in rows), np.uint64)
         owner = np.repeat(np.arange(len(rows)), counts)
         inside = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-        node = suffix_nodes(symbols, begin[owner] + inside, window)
-        ids = np.array([r[1] for r in rows])[owner]
-        order = np.lexsort((ids, node))
-        new = np.append(True, np.diff(node[order]) != 0)
-        least = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        tree = SuffixTree(symbols, lengths, (np.cumsum(lengths) - lengths)[owner] + inside)
+        node, deep = tree.nodes(window)
+        ids = np.array([r[3] for r in rows])[owner][tree.order]
+        by_id = np.lexsort((ids, node))
+        least = ids[by_id][np.searchsorted(node[by_id], np.arange(len(deep)))][node]
         repeat = np.empty(len(owner), bool)
-        repeat[order] = ids[order] > least
+        repeat[tree.order] = (ids > least) & (deep[node] >= window)
         # neighbouring repeats of one stretch are one run
         edge = np.flatnonzero(repeat & ~(np.append(False, repeat[:-1]) & np.append(False, owner[1:] == owner[:-1])))
         if not len(edge):
             return None
         total = np.append(np.cumsum(repeat), repeat.sum())
         n = np.append(total[edge[1:] - 1], total[-1]) - (total[edge] - 1)
+        of = owner[edge].tolist()
         return pa.RecordBatch.from_arrays(
-            [pa.array([rows[o][2] for o in owner[edge]], pa.int64()), pa.array([rows[o][3] + int(i) for o, i in zip(owner[edge], inside[edge], strict=True)], pa.int32()), pa.array(n.astype(np.int32))],
-            ["rid", "at", "n"],
+            [pa.array([rows[o][1] for o in of], pa.int64()), pa.array([rows[o][2] for o in of], pa.int64()), pa.array(inside[edge].astype(np.int32)), pa.array(n.astype(np.int32))],
+            ["d1", "d2", "at", "n"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "rid", "at", "n", "words")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "d1", "d2", "id", "words")), strict=True):
                 if size >= tree_words and row[0] != held[-1][0]:
                     found = solve(held)
                     if found is not None:
                         yield found
                     held, size = [], 0
                 held.append(row)
-                size += len(row[5]) // 8
+                size += len(row[4]) // 8
         if held:
             found = solve(held)
             if found is not None:
@@ -195,108 +270,141 @@ def _trees(window: int, tree_words: int):
     return run
 
 
+def _solve(stretches: DataFrame, kind: str, window: int, sizes: list[int], group_limit: int) -> DataFrame:
+    """Runs of repeated windows (o1, o2, id, at, n) of what the stretches were
+    cut from. ``sizes`` are the prefix lengths from that of the stretches on."""
+    by = ["key", "d1", "d2"]
+    classes = materialize(stretches.groupBy(*by).agg(F.min("id").alias("least"), F.first("words").alias("words")), "classes")
+    members = stretches.select(*by, "id", "o1", "o2", "at", "n").join(classes.select(*by, "least"), by)
+    members = materialize(members, "stretch_members")
+    groups = classes.groupBy("key").agg(F.min("least").alias("lo"), F.max("least").alias("hi"), F.count("*").alias("c")).filter("lo < hi")
+    groups = materialize(groups.select("key", (F.col("c") > group_limit).alias("large")), "groups")
+    mixed = classes.withColumnRenamed("least", "id").join(groups, "key")
+    copies = members.filter("id > least").select("o1", "o2", "id", "at", "n")
+    if len(sizes) == 1:
+        return copies  # a class is a node of the tree: its smallest id repeats nothing
+    fit = mixed.filter("not large").select(*by, "id", "words").repartition("key").sortWithinPartitions("key")
+    found = fit.mapInArrow(_trees(window, TREE_WORDS), "d1 long, d2 long, at int, n int")
+    if not groups.filter("large").isEmpty():
+        deeper = mixed.filter("large").select("d1", "d2", "id", "words").mapInArrow(_split(window, sizes[1]), _schema(kind))
+        below = _solve(materialize(deeper, "stretches"), kind, window, sizes[1:], group_limit)
+        found = found.unionByName(below.select(F.col("o1").alias("d1"), F.col("o2").alias("d2"), "at", "n"))
+    found = found.withColumnsRenamed({"at": "run_at", "n": "run_n"})
+    firsts = members.filter("id = least").select("d1", "d2", "o1", "o2", "id", "at").join(found, ["d1", "d2"])
+    firsts = firsts.select("o1", "o2", "id", (F.col("at") + F.col("run_at")).alias("at"), F.col("run_n").alias("n"))
+    return copies.unionByName(firsts)
+
+
 def find_repeats(docs: DataFrame, *, window: int = WINDOW, group_limit: int = GROUP_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row with an id: ``id, rid, n_words, whole, repeats``.
+    """Per row: ``id, rid, n_words, digest, whole, repeats``.
 
-    ``rid`` names the row by its id and text; ``whole`` is true where all words
-    also stand, in order, as the whole of a document of a smaller id; else
-    ``repeats`` lists runs of repeated windows as first window and number, or is
-    null. Runs may touch or overlap.
+    ``rid`` tells rows of one id apart by their text; ``digest`` is the words'
+    SHA-256, joined by one space; ``whole`` is true where all words also stand, in
+    order, as the whole of a document of a smaller id; else ``repeats`` lists runs
+    of repeated windows as first window and number, or is null. Runs may touch or
+    overlap.
     """
     session_of(docs)
     kind = dict(docs.dtypes)[id_col]
     texts = _texts(docs, id_col, text_col)
-    profile = materialize(
-        texts.mapInArrow(_profile(window, "text"), f"id {kind}, rid long, n_words long, digest binary, anchors array<struct<key:long,at:int,n:int>>"), "profile"
-    )
-    firsts = profile.filter(F.col("n_words") >= window).groupBy("digest").agg(F.min_by(F.struct("id", "rid", "anchors"), "id").alias("f"))
-    own = firsts.select("f.id", "f.rid", F.inline("f.anchors"))
-    met = own.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c"))
-    met = met.filter("lo < hi").select("key", (F.col("c") > group_limit).alias("large"))
-    wanted = own.join(met, "key").groupBy("rid").agg(F.collect_list(F.struct("key", "at", "n", "large")).alias("runs"))
-    stretches = texts.join(wanted, "rid").mapInArrow(_stretches(window, "text"), f"key long, deep long, id {kind}, rid long, at int, n int, words binary")
-    stretches = materialize(stretches, "stretches")
-
-    grouped = stretches.filter("deep is null").drop("deep").repartition("key").sortWithinPartitions("key")
-    shallow = grouped.mapInArrow(_trees(window, TREE_WORDS), "rid long, at int, n int")
-    alone = stretches.filter("deep is not null").select("key", "deep", "id", "rid", "at")
-    nodes = alone.groupBy("key", "deep").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").drop("hi")
-    deep = alone.join(nodes, ["key", "deep"]).filter("id > lo").select("rid", "at", F.lit(1).alias("n"))
-    repeats = shallow.unionByName(deep).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("repeats"))
-
-    small = profile.select("id", "rid", "n_words", "digest")
-    least = firsts.select("digest", F.col("f.id").alias("least"))
+    profile = materialize(texts.mapInArrow(_profile(window), f"id {kind}, rid long, n_words long, digest binary, anchors array<struct<key:long,at:int,n:int>>"), "profile")
+    named = profile.filter(F.col("id").isNotNull() & (F.col("n_words") >= window))
+    firsts = named.groupBy("digest").agg(F.min(F.struct("id", "rid")).alias("f"))
+    firsts = materialize(firsts.select("digest", F.col("f.id").alias("least"), F.col("f.rid").alias("least_rid")), "firsts")
+    judged = named.join(firsts, "digest")
+    own = judged.filter("id = least and rid = least_rid").dropDuplicates(["id", "rid"]).select("id", "rid", F.inline("anchors"))
+    own = materialize(own, "anchors")
+    met = own.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
+    met = materialize(met, "met")
+    wanted = sieve(own, met, "key").join(met, "key").groupBy("id", "rid").agg(F.collect_list(F.struct("key", "at", "n")).alias("runs"))
+    wanted = materialize(wanted, "wanted")
+    sought = sieve(texts, wanted, "rid").dropDuplicates(["id", "rid"]).join(wanted, ["id", "rid"])
+    stretches = materialize(sought.mapInArrow(_stretches(window), _schema(kind)), "stretches")
+    found = _solve(stretches, kind, window, prefix_lengths(window), group_limit)
+    repeats = found.groupBy("id", F.col("o1").alias("rid")).agg(F.collect_list(F.struct("at", "n")).alias("repeats"))
+    small = profile.select("id", "rid", "n_words", "digest").join(firsts.select("digest", "least"), "digest", "left")
     return (
-        small.join(least, "digest", "left")
-        .withColumn("whole", F.coalesce(F.col("least") < F.col("id"), F.lit(False)))
-        .join(repeats, "rid", "left")
-        .select("id", "rid", "n_words", "whole", "repeats")
+        small.withColumn("whole", F.coalesce(F.col("least") < F.col("id"), F.lit(False)))
+        .join(repeats, ["id", "rid"], "left")
+        .select("id", "rid", "n_words", "digest", "whole", "repeats")
     )
 
 
+def _rid(id_col: str, text_col: str):
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull())
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rid = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull())
-    return pick(docs, id_col, text_col).filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), rid.alias("rid"), F.col(text_col).alias("text"))
+    return pick(docs, id_col, text_col).select(F.col(id_col).alias("id"), _rid(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
 
 
-def _kept(words: list[bytes], whole: bool, repeats: list[dict] | None, window: int) -> list[bytes]:
-    if whole:
-        return []
-    if not repeats:
-        return words
-    edge = np.zeros(len(words) + 1, np.int64)
+def _covered(n_words: int, repeats: list[dict], window: int) -> np.ndarray:
+    """Which words stand in a repeated window."""
+    edge = np.zeros(n_words + 1, np.int64)
     for r in repeats:
         edge[r["at"]] += 1
         edge[r["at"] + r["n"] + window - 1] -= 1
-    return [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
+    return np.cumsum(edge[:-1]) > 0
 
 
-def _cut(window: int, digest: bool, text: bool):
+def _cut(window: int, text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            counts, removed, digests, texts = [], [], [], []
-            for raw, whole, repeats in zip(as_bytes(batch.column("text")), batch.column("whole").to_pylist(), batch.column("repeats").to_pylist(), strict=True):
+            removed, digests, spans, texts = [], [], [], []
+            for raw, repeats in zip(as_bytes(batch.column("text")), batch.column("repeats").to_pylist(), strict=True):
                 words = raw.split()
-                kept = _kept(words, whole, repeats, window)
-                counts.append(len(words))
-                removed.append(len(words) - len(kept))
-                joined = b" ".join(kept)
-                if digest:
-                    digests.append(sha256(joined).hexdigest())
-                if text:
-                    # nothing to remove: the text as it was
-                    texts.append((joined if removed[-1] else raw).decode())
-            extra = [pa.array(digests, pa.string())] * digest + [pa.array(texts, pa.string())] * text
+                gone = _covered(len(words), repeats, window)
+                joined = b" ".join([words[i] for i in np.flatnonzero(~gone)])
+                removed.append(int(gone.sum()))
+                digests.append(sha256(joined).hexdigest())
+                cuts = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]]))).reshape(-1, 2)
+                spans.append([{"start": a, "words": b - a} for a, b in cuts.tolist()])
+                texts.append(joined.decode() if text else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("rid"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), *extra],
-                ["id", "rid", "n_words", "n_removed", *["kept_sha256"] * digest, *["kept"] * text],
+                [batch.column("id"), batch.column("rid"), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(spans, _SPANS), pa.array(texts, pa.string())],
+                ["id", "rid", "n_removed", "kept_sha256", "removed", "kept"],
             )
 
     return run
 
 
-def cut_repeats(docs: DataFrame, *, window: int = WINDOW, group_limit: int = GROUP_LIMIT, digest: bool = True, text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``id_col, rid, n_words, n_removed`` and, as asked, the kept
-    words' ``kept_sha256`` (joined by one space) and ``kept``, the text that
-    stays: the kept words joined by one space, or the text itself where no word
-    is removed."""
+def _parts(docs: DataFrame, found: DataFrame, window: int, text: bool, id_col: str, text_col: str) -> DataFrame:
+    """The rows of which a part goes, once for each id and text: only their texts
+    are read again."""
     kind = dict(docs.dtypes)[id_col]
-    found = find_repeats(docs, window=window, group_limit=group_limit, id_col=id_col, text_col=text_col)
-    found = found.select("rid", "whole", "repeats").dropDuplicates(["rid"])
-    texts = _texts(docs, id_col, text_col)
-    without = pick(docs, id_col, text_col).filter(F.col(id_col).isNull()).select(F.col(id_col).alias("id"), F.lit(None).cast("long").alias("rid"), F.col(text_col).alias("text"))
-    without = without.withColumn("whole", F.lit(False)).withColumn("repeats", F.lit(None).cast(f"array<{_RUN}>"))
-    schema = f"id {kind}, rid long, n_words long, n_removed long" + ", kept_sha256 string" * digest + ", kept string" * text
-    cut = texts.join(found, "rid").select("id", "rid", "text", "whole", "repeats").unionByName(without).mapInArrow(_cut(window, digest, text), schema)
-    return cut.withColumnRenamed("id", id_col)
-
-
-def remove_repeats(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with repeated windows cut out of their texts; documents of
-    which no word is left go. Other columns stay as they are."""
-    cut = cut_repeats(docs, window=window, digest=False, text=True, id_col=id_col, text_col=text_col)
-    decided = cut.filter("n_removed > 0").select("rid", "kept", (F.col("n_removed") == F.col("n_words")).alias("gone")).dropDuplicates(["rid"])
-    rid = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull())
-    named = docs.select(F.struct(*docs.columns).alias("row"), rid.alias("rid"))
-    joined = named.join(decided, "rid", "left").filter(~F.coalesce("gone", F.lit(False)))
-    return joined.select(*[F.coalesce("kept", F.col("row")[c]).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    partly = materialize(found.filter("not whole and repeats is not null").select("id", "rid", "repeats").dropDuplicates(["id", "rid"]), "partly")
+    texts = sieve(_texts(docs, id_col, text_col), partly, "rid").dropDuplicates(["id", "rid"]).join(partly, ["id", "rid"])
+    return texts.mapInArrow(_cut(window, text), f"id {kind}, rid long, n_removed long, kept_sha256 string, removed array<struct<start:long,words:long>>, kept string")
+
+
+def cut_repeats(docs: DataFrame, *, window: int = WINDOW, group_limit: int = GROUP_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: ``id_col, n_words, n_removed, kept_sha256`` (of the kept words,
+    joined by one space) and ``removed``, the spans of removed words as start and
+    number."""
+    found = materialize(find_repeats(docs, window=window, group_limit=group_limit, id_col=id_col, text_col=text_col), "repeats")
+    parts = _parts(docs, found, window, False, id_col, text_col).drop("kept")
+    out = found.select("id", "rid", "n_words", "digest", "whole").join(parts, ["id", "rid"], "left")
+    some, none = F.col("n_removed").isNotNull(), F.array().cast("array<struct<start:long,words:long>>")
+    everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("words")))
+    return out.select(
+        F.col("id").alias(id_col),
+        "n_words",
+        F.when(F.col("whole"), F.col("n_words")).when(some, F.col("n_removed")).otherwise(F.lit(0).cast("long")).alias("n_removed"),
+        F.when(F.col("whole"), F.lit(sha256(b"").hexdigest())).when(some, F.col("kept_sha256")).otherwise(F.lower(F.hex("digest"))).alias("kept_sha256"),
+        F.when(F.col("whole"), everything).when(some, F.col("removed")).otherwise(none).alias("removed"),
+    )
+
+
+def remove_repeats(docs: DataFrame, *, window: int = WINDOW, group_limit: int = GROUP_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with repeated windows cut out of their texts (the kept words
+    joined by one space); documents of which no word is left go. Texts without
+    repeats, and other columns, stay as they are."""
+    found = materialize(find_repeats(docs, window=window, group_limit=group_limit, id_col=id_col, text_col=text_col), "repeats")
+    parts = _parts(docs, found, window, True, id_col, text_col).select("id", "rid", "kept")
+    gone = found.filter("whole").select("id", "rid", F.lit("").alias("kept")).dropDuplicates(["id", "rid"])
+    decided = materialize(parts.unionByName(gone), "decided")
+    named = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), _rid(id_col, text_col).alias("rid"))
+    marked = sieve(named, decided, "rid", split=True)
+    joined = marked.filter("sieve_met").drop("sieve_met").join(decided, ["id", "rid"], "left").filter("kept is null or kept <> ''")
+    changed = joined.select(*[F.coalesce("kept", F.col("row")[c]).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    return marked.filter("not sieve_met").select("row.*").unionByName(changed)
