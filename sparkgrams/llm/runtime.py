@@ -107,14 +107,15 @@ def sieve(df: DataFrame, keys: DataFrame, key: str, *, split: bool = False) -> D
     return marked if split else marked.filter("sieve_met").drop("sieve_met")
 
 
-def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows whose long ``key`` is not among ``keys`` (null keys stay): only rows
-    that the sieve can't tell apart are shuffled."""
-    held = df.select(F.struct(*df.columns).alias("row"), F.col(key).alias("k"))
-    marked = _sieved(held, keys.select(F.col(key).alias("k")), "k")
-    sure, unsure = marked.filter("not sieve_met"), marked.filter("sieve_met")
-    left = unsure.join(keys.select(F.col(key).alias("k")), "k", "left_anti")
-    return sure.select("row.*").unionByName(left.select("row.*"))
+def without(df: DataFrame, keys: DataFrame, key: str, *more: str) -> DataFrame:
+    """Rows whose long ``key`` (and ``more`` columns) are not among ``keys``;
+    null keys stay. Only rows that the sieve can't tell apart are shuffled."""
+    names = [key, *more]
+    held = df.select(F.struct(*df.columns).alias("row"), *[F.col(c).alias(f"k{n}") for n, c in enumerate(names)])
+    gone = keys.select(*[F.col(c).alias(f"k{n}") for n, c in enumerate(names)])
+    marked = _sieved(held, gone, "k0")
+    left = marked.filter("sieve_met").join(gone, [f"k{n}" for n in range(len(names))], "left_anti")
+    return marked.filter("not sieve_met").select("row.*").unionByName(left.select("row.*"))
 
 
 @contextmanager
