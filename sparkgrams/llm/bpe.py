@@ -26,6 +26,7 @@ CACHE_CHUNKS = 200_000
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: White space of the tokenizers' own regular expressions (Unicode White_Space).
 SPACE = "\t-\r \x85\xa0  -     　"
+SPACE_SET = frozenset([chr(n) for n in [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]])
 #: How the two kinds of file split a text.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_END = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -41,6 +42,73 @@ def encoder(path: str) -> Encoder:
     return _by_path[path]
 
 
+def vocabulary(path: str) -> tuple[dict[str, int], list[tuple[str, str]]]:
+    """A file's tokens with their ids, and its merges."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    return model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+
+
+class Merges:
+    """What a file's merges make of two tokens side by side.
+
+    ``tokens`` are those that the merges make of their own letters. A token grows
+    from a letter, and what stands at its end changes with each merge that takes
+    part in it; these ends and the merges' ranks tell which merge comes first where
+    two tokens meet.
+    """
+
+    def __init__(self, path: str, pairs: int):
+        vocab, merges = vocabulary(path)
+        self.rank = {pair: n for n, pair in enumerate(merges)}
+        self.pairs, self.known = pairs, {}
+        made = {a + b for a, b in merges}
+        #: By token: what stands at its right (left) end, from a letter on, and the
+        #: ranks of the merges that change it.
+        self.right = {t: ((t,), ()) for t in vocab if t not in made}
+        self.left = dict(self.right)
+        self.tokens = set(self.right)
+        for n, (a, b) in enumerate(merges):
+            token = a + b
+            if token in self.tokens or a not in self.tokens or b not in self.tokens or self._first(a, b) != (True, n):
+                continue
+            self.tokens.add(token)
+            for ends, part in ((self.right, b), (self.left, a)):
+                seen, ranks = ends[part]
+                ends[token] = ((*seen, token), (*ranks, n))
+
+    def _first(self, a: str, b: str) -> tuple[bool, int] | None:
+        """The first merge over the border of two tokens: whether both are whole
+        by then, and its rank; None if there is none."""
+        (ends, ending), (begins, beginning) = self.right[a], self.left[b]
+        rank, x, y, last_x, last_y = self.rank, 0, 0, len(ending), len(beginning)
+        while True:
+            cross = rank.get((ends[x], begins[y]))
+            grow_a = ending[x] if x < last_x else NEVER
+            grow_b = beginning[y] if y < last_y else NEVER
+            # of merges of one rank the left one comes first
+            if cross is not None and cross < grow_a and cross <= grow_b:
+                return x == last_x and y == last_y, cross
+            if grow_a == grow_b == NEVER:
+                return None
+            if grow_a <= grow_b:
+                x += 1
+            else:
+                y += 1
+
+    def apart(self, a: str, b: str) -> bool:
+        """Whether the merges leave the two tokens as they are."""
+        known = self.known.get((a, b))
+        if known is None:
+            if len(self.known) >= self.pairs:
+                self.known.clear()
+            known = self.known[a, b] = self._first(a, b) is None
+        return known
+
+
+NEVER = 1 << 62
+
+
 def byte_alphabet() -> dict[int, str]:
     """The printable character that stands for each byte in byte-level files:
     printable Latin-1 bytes stand for themselves, the others for the code
@@ -61,9 +129,10 @@ class Encoder:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.word_end = bool(spec["model"].get("end_of_word_suffix"))
+        self.word_end = spec["model"].get("end_of_word_suffix") or ""
         self.pieces = regex.compile(WORD_END if self.word_end else BYTE_LEVEL)
-        self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)", re.I)
+        self.specials = [t["content"] for t in spec["added_tokens"]]
+        self.special = re.compile("|".join(map(re.escape, self.specials)) or r"(?!)", re.I)
         self.to_letters = byte_alphabet()
         self.merger = None if self.word_end else self._merger(spec["model"])
         self.units = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 P = pytest.importorskip("public_tokenizers")
 from sparkgrams.llm import bpe  # noqa: E402
 from sparkgrams.llm.packing import Packer, pack  # noqa: E402
+from sparkgrams.llm.queries import op8_token_counts  # noqa: E402
 from sparkgrams.llm.token_counts import PrefixCounts, count_tokens  # noqa: E402
 
 ODD = [
@@ -40,25 +41,59 @@ def test_small_memory(texts, monkeypatch):
         assert np.frombuffer(e.ids(t), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
-def test_prefix_counts():
-    path = P.path("word_bpe_49k.json")
-    e = bpe.encoder(path)
-    for t in ["", "Extraordinary  machines, they're 1234 here.", "ΑΣΣ naïve\x1cx", "<|endoftext|> abc"]:
+PREFIXED = [
+    "Extraordinary  machines, they're 1234 here.", "ΑΣΣ naïve\x1cx", "<|endoftext|> abc", "a <|endoftext|>b", "x<|endoftext|><|endoftext|> y", " <|startoftext|>it's  <|endof",
+    "they'll've 'rest ''s 'l", "\n\n\nabc\n  d   e", "x" * 200, "e\u0301 ȩ\u0301x",
+]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_prefix_counts(texts, name):
+    path = P.path(name)
+    tok = bpe.encoder(path).tokenizer
+    for t in PREFIXED + [t for t in texts[:300] if len(t) < 500]:
         table = PrefixCounts(t, path)
-        exact = [len(e.tokenizer.encode(t[:n], add_special_tokens=False).ids) for n in range(len(t) + 1)]
-        assert [table.at(n) for n in range(len(t) + 1)] == exact
+        exact = [len(tok.encode(t[:n], add_special_tokens=False).ids) for n in range(len(t) + 1)]
+        assert [table.at(n) for n in range(len(t) + 1)] == exact == table.table.tolist()
         for budget in range(-1, 12):
-            n = table.fit(budget)
-            assert n == 0 or exact[n] <= budget
+            assert table.fit(budget) == max((n for n, c in enumerate(exact) if c <= budget), default=0)
+
+
+def test_tokens_stay_apart():
+    path, r = P.path("byte_bpe_50k.json"), random.Random(1)
+    merges, model = bpe.Merges(path, 1000), bpe.encoder(path).model
+    tokens = sorted(merges.tokens)
+    assert len(tokens) > 50_000
+    for a, b in [r.choices(tokens, k=2) for _ in range(3000)]:
+        assert merges.apart(a, b) == ([t.value for t in model.tokenize(a + b)] == [a, b])
+
+
+def test_long_text_is_linear():
+    path, r = P.path("word_bpe_49k.json"), random.Random(1)
+    text = "".join(r.choice(["word ", "naïve ", "x", "12 ", "'ll "]) for _ in range(300_000))
+    table = PrefixCounts(text, path)
+    assert table.at(len(text)) == len(bpe.encoder(path).tokenizer.encode(text, add_special_tokens=False).ids)
+    n = table.fit(1000)
+    assert table.at(n) <= 1000 and (table.table[n + 1 :] > 1000).all()
+
+
+def test_query_against_the_library(spark, sf_dir):
+    path = P.path("word_bpe_49k.json")
+    tok = bpe.encoder(path).tokenizer
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in op8_token_counts(spark, sf_dir).collect()}
+    counts = dict(zip(docs, (len(e.ids) for e in tok.encode_batch(list(docs.values()), add_special_tokens=False)), strict=True))
+    assert got == {i: (len(t.encode()), counts[i], counts[i] > 2048) for i, t in docs.items()}
 
 
-def test_counts(spark, sf_dir):
-    docs = spark.createDataFrame([(1, None), (2, "a b"), (2, "a b"), (3, ODD[8])], "doc_id long, text string").withColumn("n_tokens", F.lit("clash"))
+def test_counts(spark):
+    docs = spark.createDataFrame([(1, None), (2, "a b"), (2, "a b"), (3, ODD[8]), (None, "a")], "doc_id long, text string").withColumn("n_tokens", F.lit("clash"))
     path = P.path("word_bpe_49k.json")
-    got = sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in count_tokens(docs, path).collect())
-    assert got[:3] == [(1, 0, 0), (2, 3, 2), (2, 3, 2)] and got[3][2] == len(bpe.encoder(path).tokenizer.encode(ODD[8], add_special_tokens=False).ids)
+    got = sorted(((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in count_tokens(docs, path).collect()), key=str)
+    assert got[:4] == [(0, 1, 1), (1, 0, 0), (2, 3, 2), (2, 3, 2)] and got[4][2] == len(bpe.encoder(path).tokenizer.encode(ODD[8], add_special_tokens=False).ids)
     assert count_tokens(docs.limit(0), path).count() == 0
     assert count_tokens(docs, path, budgets=(1,)).filter("doc_id = 2").first().fits_1 == 2
+    assert count_tokens(docs, P.path("byte_bpe_50k.json"), budgets=(1, 0)).filter("doc_id = 2").select("fits_1", "fits_0").distinct().collect() == [(2, 0)]
 
 
 def check_packed(rows, ids_of, size):
