@@ -1,17 +1,21 @@
 """Benchmark decontamination: SimHash over windows as long as a benchmark item,
 multi-index Hamming blocks, then exact weighted-shingle similarity.
 
-Every item has a 64-bit SimHash of its words. A text's windows of the item's
-length are fingerprinted too, and a window is a candidate for the item if their
-fingerprints differ in at most ``radius`` bits. To find those, fingerprints are
-cut into four blocks: within the radius, one block differs in at most a quarter
-of it, so blocks are compared first and none within the radius is missed.
-Candidates are verified exactly: the sums of the smaller and of the larger
-counts of each shingle of five words, divided, must reach the threshold.
-
-Windows that can't reach it are never fingerprinted: for a window and an item of
-n shingles each, the threshold t asks for 2tn/(1+t) shared ones, and the
-positions of a text whose shingle some item has are counted by running sums.
+Every item has a 64-bit SimHash of its words. A text's windows of the items'
+lengths are fingerprinted too, and a window is a candidate for the items of its
+length whose fingerprints differ from its own in at most ``radius`` bits. These
+come from an index: fingerprints are cut into four blocks of 16 bits, and of two
+within the radius one block differs in at most a quarter of it, so the items that
+have such a value in that block are looked up and verified; none within the
+radius is missed. What a lookup costs is bounded by the ways to flip so few bits
+of a block, whatever the number of items. Candidates are then verified exactly:
+the sums of the smaller and of the larger counts of each shingle of five words,
+divided, must reach the threshold.
+
+Windows that can't reach it for any item of their length are not fingerprinted:
+for a window and an item of n shingles each, the threshold t asks for 2tn/(1+t)
+shared ones, and the positions of a text whose shingle any item has are counted
+by running sums.
 
 Texts aren't shuffled. Items go to every task in blocks of bounded size.
 
@@ -21,14 +25,15 @@ text shorter than an item is one window as a whole.
 
 Defined results: null and empty texts, and items without words, match nothing;
 repeated rows are searched each, repeated items reported each; an empty table
-gives an empty result; other columns are ignored. Of the windows of a row that
-match an item, the most similar one is reported, then the first.
+gives an empty result; texts of any length are searched whole; other columns are
+ignored. Of the windows of a row that match an item, the most similar one is
+reported, then the first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +48,30 @@ THRESHOLD = 0.8
 RADIUS = 20
 #: Words of the items that go to every task at once.
 BLOCK_WORDS = 2_000_000
+#: Windows that are fingerprinted at once.
+WINDOWS = 4096
+
+
+def fingerprints(h: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """The SimHash of the ``size`` words from each (ascending) start on: bit by
+    bit the majority among the words' hashes."""
+    out = np.empty(len(starts), np.uint64)
+    done = 0
+    while done < len(starts):
+        first = int(starts[done])
+        some = int(np.searchsorted(starts, first + WINDOWS))
+        part = mix(h[first : int(starts[some - 1]) + size])
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.zeros((len(part) + 1, 64), np.int32)
+        np.cumsum(bits, axis=0, out=ones[1:])
+        at = starts[done:some] - first
+        out[done:some] = np.packbits(2 * (ones[at + size] - ones[at]) > size, axis=1, bitorder="little").view(np.uint64)[:, 0]
+        done = some
+    return out
 
 
 def simhash(h: np.ndarray) -> np.uint64:
-    """Bit by bit the majority among the words' hashes."""
-    bits = (mix(h)[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-    ones = 2 * bits.sum(axis=0, dtype=np.int64) > len(h)
-    return (ones.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64)
+    return fingerprints(h, np.zeros(1, np.int64), len(h))[0]
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -60,73 +82,97 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.minimum(ca, cb).sum() / np.maximum(ca, cb).sum())
 
 
-@dataclass
+class HammingBlocks:
+    """Fingerprints by the values of their four blocks."""
+
+    def __init__(self, prints: np.ndarray, radius: int):
+        self.prints, self.radius, self.flips = prints, radius, radius // 4
+        self.blocks = []
+        for values in prints.view(np.uint16).reshape(-1, 4).T:
+            order = np.argsort(values, kind="stable")
+            present, first = np.unique(values[order], return_index=True)
+            self.blocks.append((order, present, np.append(first, len(order))))
+
+    def within(self, fingerprint: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """All fingerprints within the radius, and their distances."""
+        found = []
+        for own, (order, present, first) in zip(np.array([fingerprint]).view(np.uint16), self.blocks, strict=True):
+            masks = _masks(self.flips)
+            if len(masks) < len(present):
+                values = masks ^ own
+                at = np.searchsorted(present, values)
+                at = at[present[np.minimum(at, len(present) - 1)] == values]
+            else:
+                at = np.flatnonzero(np.bitwise_count(present ^ own) <= self.flips)
+            found += [order[first[i] : first[i + 1]] for i in at.tolist()]
+        met = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        apart = np.bitwise_count(self.prints[met] ^ fingerprint)
+        return met[apart <= self.radius], apart[apart <= self.radius]
+
+
+_by_flips: dict[int, np.ndarray] = {}
+
+
+def _masks(flips: int) -> np.ndarray:
+    """All values of 16 bits of which at most ``flips`` are set."""
+    if flips not in _by_flips:
+        _by_flips[flips] = np.array([sum(1 << b for b in c) for n in range(min(flips, 16) + 1) for c in combinations(range(16), n)], np.uint16)
+    return _by_flips[flips]
+
+
 class Items:
-    """A block of items, and the positions of their shingles by hash."""
-
-    ids: list
-    words: list[np.ndarray]
-    threshold: float
-    radius: int
-
-    def __post_init__(self):
-        self.grams = [min(SHINGLE, len(w)) for w in self.words]
-        self.shingles = [runs(w, g) for w, g in zip(self.words, self.grams, strict=True)]
-        self.prints = np.array([simhash(w) for w in self.words], dtype=np.uint64)
-        self.blocks = self.prints.view(np.uint16).reshape(-1, 4)
-        self.by_gram: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for gram in sorted(set(self.grams)):
-            mine = [n for n, g in enumerate(self.grams) if g == gram]
-            keys = np.concatenate([np.unique(self.shingles[n]) for n in mine])
-            owner = np.concatenate([np.full(len(np.unique(self.shingles[n])), n) for n in mine])
-            order = np.argsort(keys, kind="stable")
-            keys, owner = keys[order], owner[order]
+    """A block of items: by length the index of their fingerprints, by shingle
+    size the shingles that any of them has."""
+
+    def __init__(self, ids: list, words: list[np.ndarray], threshold: float, radius: int):
+        self.ids, self.threshold = ids, threshold
+        size = np.array([len(w) for w in words])
+        self.shingles = [runs(w, min(SHINGLE, len(w))) for w in words]
+        #: Length in words: shingle size, items, index.
+        self.lengths: dict[int, tuple[int, np.ndarray, HammingBlocks]] = {}
+        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for length in np.unique(size).tolist():
+            mine = np.flatnonzero(size == length)
+            self.lengths[length] = min(SHINGLE, length), mine, HammingBlocks(np.array([simhash(words[i]) for i in mine], np.uint64), radius)
+        for gram in {g for g, _, _ in self.lengths.values()}:
+            keys = np.unique(np.concatenate([s for s, w in zip(self.shingles, size, strict=True) if min(SHINGLE, w) == gram]))
             met = np.zeros(1 << 20, dtype=bool)
             met[(keys >> np.uint64(44)).astype(np.int64)] = True
-            self.by_gram[gram] = keys, owner, met
-
-    def near(self, fingerprint: np.uint64) -> np.ndarray:
-        """Bits in which each item differs, or 99 for those that differ in more
-        than a quarter of the radius in every block, or beyond the radius."""
-        own = np.array([fingerprint], dtype=np.uint64).view(np.uint16)
-        close = (np.bitwise_count(self.blocks ^ own) <= self.radius // 4).any(axis=1)
-        apart = np.full(len(self.prints), 99)
-        apart[close] = np.bitwise_count(self.prints[close] ^ fingerprint)
-        return np.where(apart <= self.radius, apart, 99)
-
-    def hits(self, h: np.ndarray, gram: int) -> list[tuple[int, np.ndarray]]:
-        """For each item with a shingle among ``h``, the positions of these."""
-        keys, owner, met = self.by_gram[gram]
-        at = np.flatnonzero(met[(h >> np.uint64(44)).astype(np.int64)])
-        first, last = np.searchsorted(keys, h[at]), np.searchsorted(keys, h[at], side="right")
-        at, first, last = at[last > first], first[last > first], last[last > first]
-        if not len(at):
-            return []
-        count = last - first
-        place = np.repeat(at, count)
-        owners = owner[np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-        order = np.lexsort((place, owners))
-        place, owners = place[order], owners[order]
-        cuts = np.flatnonzero(np.diff(owners)) + 1
-        return list(zip(owners[np.concatenate([[0], cuts])].tolist(), np.split(place, cuts), strict=True))
-
-    def search(self, words: np.ndarray, shingles: np.ndarray, gram: int, item: int, at: np.ndarray) -> tuple | None:
-        """(similarity, start, words, bits) of the best matching window."""
-        size = min(len(self.words[item]), len(words))
-        shingled = size - gram + 1
-        least = self.threshold / (1 + self.threshold) * (shingled + len(self.shingles[item]))
-        # windows that begin where they hold the most: from a hit, or to one
-        starts = np.unique(np.concatenate([at, at - shingled + 1]))
-        starts = np.clip(starts, 0, len(words) - size)
-        inside = np.searchsorted(at, starts + shingled) - np.searchsorted(at, starts)
-        best = None
-        for start in np.unique(starts[inside >= least - 1e-9]).tolist():
-            apart = int(self.near(simhash(words[start : start + size]))[item])
-            if apart > self.radius:
+            self.known[gram] = keys, met
+
+    def least(self, size: int, length: int, gram: int) -> float:
+        """Shingles that a window of ``size`` words has to share with an item."""
+        return self.threshold / (1 + self.threshold) * (size + length - 2 * gram + 2) - 1e-9
+
+    def search(self, words: np.ndarray) -> dict[int, tuple[float, int, int, int]]:
+        """By item: similarity, start, words and bits apart of the best window."""
+        best: dict[int, tuple[float, int, int, int]] = {}
+        for gram, (keys, met) in self.known.items():
+            shingles = runs(words, gram)
+            if not len(shingles):
+                continue
+            at = np.flatnonzero(met[(shingles >> np.uint64(44)).astype(np.int64)])
+            place = np.searchsorted(keys, shingles[at])
+            at = at[keys[np.minimum(place, len(keys) - 1)] == shingles[at]]
+            if not len(at):
                 continue
-            alike = similarity(shingles[start : start + shingled], self.shingles[item])
-            if alike >= self.threshold and (best is None or alike > best[0]):
-                best = (alike, start, size, apart)
+            held = np.zeros(len(shingles) + 1, np.int64)
+            held[at + 1] = 1
+            held = np.cumsum(held)
+            for length, (g, items, index) in self.lengths.items():
+                size = min(length, len(words))
+                least = self.least(size, length, gram)
+                span = size - gram + 1
+                if g != gram or len(at) < least or span < least:
+                    continue
+                starts = np.flatnonzero(held[span:] - held[:-span] >= least)
+                for start, fingerprint in zip(starts.tolist(), fingerprints(words, starts, size), strict=True):
+                    own = shingles[start : start + span]
+                    for item, apart in zip(*index.within(fingerprint), strict=True):
+                        item = int(items[item])
+                        alike = similarity(own, self.shingles[item])
+                        if alike >= self.threshold and (item not in best or alike > best[item][0]):
+                            best[item] = alike, start, size, int(apart)
         return best
 
 
@@ -180,15 +226,8 @@ def _search(shared, id_col: str, text_col: str, names: list[str]):
         for batch in slices(batches, text_col):
             rows = []
             for row, raw in enumerate(as_bytes(batch.column(text_col))):
-                words = hashes(raw.translate(SCAN).split())
-                for gram in items.by_gram:
-                    shingles = runs(words, gram)
-                    if not len(shingles):
-                        continue
-                    for item, at in items.hits(shingles, gram):
-                        best = items.search(words, shingles, gram, item, at)
-                        if best is not None:
-                            rows.append((row, items.ids[item], best[1], best[2], best[0], best[3]))
+                found = items.search(hashes(raw.translate(SCAN).split()))
+                rows += [(row, items.ids[item], start, size, alike, apart) for item, (alike, start, size, apart) in found.items()]
             if rows:
                 columns = list(zip(*rows, strict=True))
                 kinds = [item_type, pa.int64(), pa.int64(), pa.float64(), pa.int32()]

@@ -1,11 +1,13 @@
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import best_windows
-from sparkgrams.llm.decontaminate import find_contamination, simhash
+from sparkgrams.llm.decontaminate import RADIUS, HammingBlocks, find_contamination, fingerprints, simhash, similarity
 from sparkgrams.llm.licenses import SCAN
-from sparkgrams.llm.words import hashes
+from sparkgrams.llm.words import hashes, runs
 
 
 def words(text):
@@ -59,3 +61,53 @@ def test_simhash_moves_little():
     a = [str(n).encode() for n in range(50)]
     far = bin(int(simhash(hashes(a))) ^ int(simhash(hashes(a[:-1] + [b"x"])))).count("1")
     assert far <= 10 and int(simhash(hashes(a))) != 0
+
+
+def test_fingerprints_of_windows():
+    h = hashes([str(n % 37).encode() for n in range(9000)])
+    starts = np.array([0, 1, 5, 4999, 5000, 8960])
+    for got, s in zip(fingerprints(h, starts, 40), starts, strict=True):
+        assert got == simhash(h[s : s + 40])
+
+
+@pytest.mark.parametrize(("n", "radius"), [(50, 20), (12_000, 9), (12_000, 20)])
+def test_blocks_find_all_within_the_radius(n, radius):
+    rng = np.random.default_rng(n)
+    prints = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    index = HammingBlocks(prints, radius)
+    for _ in range(30):
+        own = prints[rng.integers(n)]
+        for b in rng.choice(64, rng.integers(0, 24), replace=False):
+            own ^= np.uint64(1 << int(b))
+        found, apart = index.within(own)
+        exact = np.bitwise_count(prints ^ own)
+        assert found.tolist() == np.flatnonzero(exact <= radius).tolist() and (apart == exact[found]).all()
+
+
+@pytest.mark.parametrize("size", [15, 25, 40, 60, 120, 400])
+def test_radius_holds_windows_at_the_threshold(size):
+    """Changed windows that are just similar enough: at least 99.5 % have
+    fingerprints within the radius."""
+    r, seen, near = random.Random(size), 0, 0
+    while seen < 400:
+        item = [f"w{r.randrange(10**6)}".encode() for _ in range(size)]
+        other = list(item)
+        if r.random() < 0.5:  # shifted against the item
+            k = r.randint(1, max(1, size // 8))
+            other = other[k:] + [f"x{r.randrange(10**6)}".encode() for _ in range(k)]
+        for _ in range(r.randint(0, size // 20 + 1)):
+            other[r.randrange(size)] = f"x{r.randrange(10**6)}".encode()
+        a, b = hashes(item), hashes(other)
+        alike = similarity(runs(a, 5), runs(b, 5))
+        if not 0.8 <= alike < 0.9:
+            continue
+        seen += 1
+        near += bin(int(simhash(a)) ^ int(simhash(b))).count("1") <= RADIUS
+    assert near / seen >= 0.995
+
+
+def test_long_text(spark):
+    item = " ".join(f"i{n}" for n in range(50))
+    text = " ".join([f"w{n % 5000}" for n in range(60_000)] + item.split() + ["end"] * 20_000)
+    docs, items = spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(3, item)], "item_id long, text string")
+    assert [(r.start, r.n_words, r.similarity, r.hamming) for r in find_contamination(docs, items).collect()] == [(60_000, 50, 1.0, 0)]
