@@ -4,16 +4,16 @@ good text than with one of bad text.
 Two zstandard dictionaries are built, from labelled good and from labelled bad
 texts of a bounded sample. A text is cut into blocks, so that a dictionary helps
 a long text as much as a short one, and every block is compressed with each; the
-difference of the two total sizes, divided by the size without a dictionary, is
-turned into a score by a logistic curve fitted on labelled texts that were kept
-out of the dictionaries. A second curve input is the plain compression ratio,
-which tells repeated or random text from prose.
-
-Defined results: a null or empty text gets the share of good labels among the
-sample's empty texts' curve value (inputs 0 and 1); repeated rows are scored
-each; an empty table gives an empty result; without labels of both kinds every
-score is the share of good labels (0.5 without any label); rows with null labels
-are not learned from; other columns are ignored.
+difference of the two total sizes, divided by the text's size, is turned into a
+score by a logistic curve fitted on labelled texts that were kept out of the
+dictionaries.
+
+Defined results: a null or empty text has the difference 0; repeated rows are
+scored each; of rows that repeat a labelled id the first text and the largest
+label count; an empty table gives an empty result; without three labels of each
+kind every score is the share of good labels (0.5 without any label); rows with
+null labels are not learned from; texts of any length are scored whole; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,12 +37,10 @@ LEVEL = 3
 
 @dataclass
 class QualityModel:
-    """Two dictionaries and the curve; dictionaries are at most
-    ``DICTIONARY_BYTES`` each."""
+    """Two dictionaries, of at most ``DICTIONARY_BYTES`` each, and the curve."""
 
     good: bytes = b""
     bad: bytes = b""
-    weights: tuple[float, ...] = (0.0, 0.0, 0.0)
     scale: float = 1.0
     shift: float = 0.0
     block: int = BLOCK_BYTES
@@ -52,32 +50,26 @@ class QualityModel:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_tools": []}
 
-    def inputs(self, texts: list[bytes]) -> np.ndarray:
-        """Normalised size difference and plain ratio of each text."""
+    def differences(self, texts: list[bytes]) -> np.ndarray:
+        """By how much smaller each text gets with the dictionary of good text
+        than with the other, as a share of its size."""
         if not self._tools:
             made = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_AUTO) for d in (self.good, self.bad)]
             for d in made:
                 d.precompute_compress(level=self.level)
-            self._tools = [zstandard.ZstdCompressor(dict_data=d) for d in made] + [zstandard.ZstdCompressor(level=self.level)]
-        out = np.zeros((len(texts), 2))
+            self._tools = [zstandard.ZstdCompressor(dict_data=d) for d in made]
+        out = np.zeros(len(texts))
+        good, bad = self._tools
         for row, text in enumerate(texts):
-            good = bad = plain = 0
             for at in range(0, len(text), self.block):
                 part = text[at : at + self.block]
-                good += len(self._tools[0].compress(part))
-                bad += len(self._tools[1].compress(part))
-                plain += len(self._tools[2].compress(part))
-            out[row] = ((bad - good) / plain, min(plain / len(text), 1.5)) if text else (0.0, 1.0)
-        return out
-
-    def outputs(self, texts: list[bytes]) -> np.ndarray:
-        x = self.inputs(texts)
-        return x @ np.array(self.weights[:2]) + self.weights[2]
+                out[row] += len(bad.compress(part)) - len(good.compress(part))
+        return out / np.maximum(1, [len(t) for t in texts])
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if not self.good:
             return np.full(len(texts), 1 / (1 + math.exp(-self.shift)))
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.outputs(texts) + self.shift, -35, 35)))
+        return 1 / (1 + np.exp(-np.clip(self.scale * self.differences(texts) + self.shift, -35, 35)))
 
 
 def build_dictionary(texts: list[bytes], size: int = DICTIONARY_BYTES, block: int = BLOCK_BYTES) -> bytes:
@@ -103,28 +95,10 @@ def train_quality(texts: list[bytes], labels: list[int], *, decision: float | No
     order = np.concatenate([order[y[order] == 1], order[y[order] == 0]])
     held, learn = order[::3], np.delete(order, np.s_[::3])
     model = QualityModel(*(build_dictionary([texts[i] for i in learn if y[i] == kind]) for kind in (1, 0)))
-    x = model.inputs([texts[i] for i in held])
-    model.weights = _logistic(x, y[held])
-    model.scale, model.shift = calibrate(x @ np.array(model.weights[:2]) + model.weights[2], y[held], decision)
+    model.scale, model.shift = calibrate(model.differences([texts[i] for i in held]), y[held], decision)
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Newton's steps for a logistic regression with a light ridge."""
-    mid, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
-    u = np.column_stack([(x - mid) / spread, np.ones(len(x))])
-    w = np.zeros(u.shape[1])
-    ridge = np.diag([1e-2] * (len(w) - 1) + [0.0])
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(u @ w, -35, 35)))
-        h = u.T @ (u * (p * (1 - p) + 1e-9)[:, None]) + ridge
-        step = np.linalg.solve(h, u.T @ (p - y) + ridge @ w)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return *(w[:-1] / spread), float(w[-1] - (w[:-1] * mid / spread).sum())
-
-
 def fit_quality(docs: DataFrame, labels: DataFrame, *, learn: Column | None = None, rows: int = TRAIN_ROWS, decision: float | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
     """A model from at most ``rows`` labelled texts, of those whose ids meet
     ``learn``."""

@@ -1,20 +1,21 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and
 skip-grams.
 
-A text's features are its distinct hashed words (and their beginnings), pairs of
-neighbouring words and pairs with one word between. Training goes through the sample's texts one by
-one, with a learning rate for each weight and an L1 penalty that leaves most
-weights at exactly zero: the model is a short list of (feature, weight) pairs
-whose size the sample bounds, small enough to go to every task.
+A text's features are its distinct hashed words, pairs of neighbouring words and
+pairs with one word between. Training goes through the sample's texts one by one,
+with a learning rate for each weight and an L1 penalty that leaves most weights at
+exactly zero: the model is a short list of (feature, weight) pairs whose size the
+sample bounds, small enough to go to every task.
 
 Words are compared in lower case (A-Z); a word is a run of letters a-z, digits
 and non-ASCII characters.
 
 Defined results: a null or empty text, or one without words, gets the score of
-the intercept alone; repeated rows are scored each; an empty table gives an
-empty result, and without labels of both kinds all scores are the share of
-toxic labels (0.5 without any label); rows with null labels are not learned
-from; other columns are ignored.
+the intercept alone; repeated rows are scored each; of rows that repeat a labelled
+id the first text and the largest label count; an empty table gives an empty
+result, and without labels of both kinds all scores are the share of toxic labels
+(0.5 without any label); rows with null labels are not learned from; texts of any
+length are scored whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,19 +26,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .licenses import SCAN
 from .runtime import as_bytes, pick, session_of, slices
+from .words import hashes
 
-#: Labelled texts that a model learns from, at most.
+#: Labelled texts that a model learns from, at most, and their bytes.
 TRAIN_ROWS = 8_000
+TRAIN_BYTES = 64 << 20
 BITS = 22
-#: Lengths in bytes of the word beginnings that count as words of their own:
-#: they carry what is learnt of a word over to its inflected forms.
-STEMS = (4, 6, 7)
 
 
 @dataclass
@@ -50,11 +49,16 @@ class FtrlModel:
     weights: np.ndarray = field(default_factory=lambda: np.empty(0, np.float64))
     scale: float = 1.0
     shift: float = 0.0
+    _dense: np.ndarray | None = field(default=None, repr=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_dense": None}
 
     def logits(self, texts: list[bytes]) -> np.ndarray:
-        dense = np.zeros(1 << self.bits, dtype=np.float32)
-        dense[self.features] = self.weights
-        return np.array([self.bias + _once(hashed(t, self.bits), dense) for t in texts])
+        if self._dense is None:  # once for each worker
+            self._dense = np.zeros(1 << self.bits, dtype=np.float32)
+            self._dense[self.features] = self.weights
+        return np.array([self.bias + _once(hashed(t, self.bits), self._dense) for t in texts])
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(texts) + self.shift, -35, 35)))
@@ -63,21 +67,15 @@ class FtrlModel:
 def hashed(text: bytes, bits: int) -> np.ndarray:
     """Hashed words, neighbouring pairs and pairs with a gap of one; repeats
     included."""
-    words = text.translate(SCAN).split()
-    h = _hashes(words)
+    h = hashes(text.translate(SCAN).split())
     near = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
     skip = h[:-2] * np.uint64(0xC2B2AE3D27D4EB4F) + (h[2:] ^ np.uint64(0x165667B19E3779F9))
-    stems = [_hashes([w[:n] for w in words]) ^ np.uint64(n) for n in STEMS]
-    keys = np.concatenate([h, near, skip, *stems])
+    keys = np.concatenate([h, near, skip])
     keys ^= keys >> np.uint64(31)
     keys *= np.uint64(0xBF58476D1CE4E5B9)
     return (keys >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
 def _once(keys: np.ndarray, dense: np.ndarray) -> float:
     """Sum of the weights of a text's features, each counted once."""
     met = dense[keys] != 0
@@ -180,24 +178,17 @@ def platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, id_col: str, text_col: str) -> tuple[list[bytes], list[int]]:
-    """At most ``rows`` labelled texts, the first by a hash of their ids. The
-    ids chosen are bounded, so they may be broadcast; of a repeated id one row
-    counts."""
-    chosen = (
-        pick(labels, id_col, label)
-        .filter(learn & F.col(label).isNotNull())
-        .dropDuplicates([id_col])
-        .orderBy(F.xxhash64(id_col), id_col)
-        .limit(rows)
-    )
-    found = (
-        pick(docs, id_col, text_col)
-        .join(F.broadcast(chosen), id_col)
-        .select(id_col, F.coalesce(text_col, F.lit("")).alias("t"), F.col(label).cast("int").alias("y"))
-        .toArrow()
-    )
-    table = found.to_pandas().drop_duplicates(id_col).sort_values(id_col)
-    return [t.encode() for t in table["t"]], table["y"].tolist()
+    """At most ``rows`` labelled texts of at most ``TRAIN_BYTES`` in all, the
+    first by a hash of their ids. The ids chosen are bounded, so they may be
+    broadcast."""
+    marked = pick(labels, id_col, label).filter(learn & F.col(label).isNotNull() & F.col(id_col).isNotNull())
+    by_hash = [F.xxhash64(id_col), F.col(id_col)]
+    chosen = marked.groupBy(id_col).agg(F.max(label).cast("int").alias("y")).orderBy(*by_hash).limit(rows)
+    found = pick(docs, id_col, text_col).join(F.broadcast(chosen), id_col)
+    found = found.groupBy(id_col).agg(F.min(F.coalesce(text_col, F.lit(""))).alias("t"), F.max("y").alias("y"))
+    size = F.sum(F.octet_length("t")).over(Window.orderBy(*by_hash))
+    table = found.withColumn("size", size).filter(F.col("size") <= TRAIN_BYTES).select(id_col, "t", "y").toArrow().sort_by(id_col)
+    return [t.encode() for t in table.column("t").to_pylist()], table.column("y").to_pylist()
 
 
 def score_texts(docs: DataFrame, scorer, *, id_col: str, text_col: str) -> DataFrame:
