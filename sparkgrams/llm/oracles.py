@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .licenses import PHRASES, TEMPLATES, template_pattern
 from .queries import URL_RULES
 
 _RULES = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
@@ -60,5 +61,27 @@ FROM d JOIN c ON d.doc_id = c.id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
 
+def _places(phrase: str) -> str:
+    words = phrase.split()
+    same = " AND ".join(f"w[i + {n}] = '{word}'" for n, word in enumerate(words))
+    return f"list_filter(range(1, len(w) + 2 - {len(words)}), lambda i: {same})"
+
+
+_PLACES = ", ".join(f"{_places(phrase)} AS p{n}" for n, phrase in enumerate(PHRASES))
+_ALL_PLACES = f"flatten([{', '.join(f'p{n}' for n in range(len(PHRASES)))}])"
+_BASE = ", ".join(f"CASE WHEN len(p{n}) > 0 THEN '{label}' END" for n, label in enumerate(PHRASES.values()))
+_MORE = ", ".join(f"CASE WHEN regexp_matches(t, '{template_pattern(label, markup)}') THEN '{label}' END" for label, markup in TEMPLATES)
+OP2 = rf"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce({_LOWER}, ''), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS t, {_PLACES} FROM d),
+l AS (SELECT doc_id, len(w) AS n_words, {_ALL_PLACES} AS places, list_filter([{_BASE}], lambda x: x IS NOT NULL) AS base,
+             list_filter([{_MORE}], lambda x: x IS NOT NULL) AS more FROM p)
+SELECT doc_id, n_words, len(places) AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word,
+       array_to_string(list_sort(list_distinct(base)), ',') AS base_labels, array_to_string(list_sort(list_distinct(base || more)), ',') AS labels,
+       CASE WHEN len(more) > 0 THEN 1.0::DOUBLE WHEN len(places) > 0 THEN 0.5 ELSE 0.0 END AS score
+FROM l
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op3_near_dedup": OP3, "op5_url_filter": OP5, "op9_hamming_topk": OP9}
+    return {"op1_substring_dedup": OP1, "op2_license_scan": OP2, "op3_near_dedup": OP3, "op5_url_filter": OP5, "op9_hamming_topk": OP9}
