@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import GramConfig, KeyTransformer, Pad, count_grams, gram_map, ngrams, pad_text
 from ..sources.texts import as_frame
+from .prefix import counts_of, ranked, tokens_of
 
 WORDS = "text string, text_padded string, arity int, n_chars int"
 POSTINGS = "gram string, text string, n_chars int, cnt int"
@@ -67,6 +68,15 @@ def word_rows(texts: DataFrame, config: GramConfig) -> DataFrame:
     return distinct.select("text", padded.alias("text_padded"), F.lit(config.arity).alias("arity"), F.length(padded).alias("n_chars"))
 
 
+@dataclass(frozen=True)
+class Ranks:
+    """Words with their numbered grams, the rarest first, and the counts behind
+    that order."""
+
+    words: DataFrame
+    counts: DataFrame
+
+
 @dataclass(frozen=True)
 class Corpus:
     """Immutable: adding gives a new corpus. ``words`` has one row a text; a
@@ -77,6 +87,9 @@ class Corpus:
     words: DataFrame = field(compare=False)
     index: DataFrame | None = field(default=None, compare=False)
     mixed: bool = False
+    ranking: Ranks | None = field(default=None, compare=False)
+    #: The index is sorted files, of which a search reads a part.
+    stored: bool = field(default=False, compare=False)
 
     @property
     def postings(self) -> DataFrame:
@@ -86,13 +99,28 @@ class Corpus:
             return self.index
         return postings_of(self.words, self.config, self.mixed)
 
+    @property
+    def ranks(self) -> Ranks:
+        """What searches of many queries and joins work on."""
+        if self.ranking is not None:
+            return self.ranking
+        arity = self.config.arity
+        tokens = tokens_of(searchable(self.words, self.config, self.mixed), "text", "text_padded", arity)
+        counts = counts_of(tokens)
+        return Ranks(ranked(tokens, "text", counts, arity), counts)
+
     def cache(self) -> Corpus:
-        """The same corpus with words and postings kept by the executors."""
-        words = self.words.persist()
-        return replace(self, words=words, index=replace(self, words=words, index=None).postings.persist())
+        """The same corpus with words, postings and ranks kept by the executors
+        once they have been asked for."""
+        kept = replace(self, words=self.words.persist(), index=None, ranking=None, stored=False)
+        counts = kept.ranks.counts.persist()
+        tokens = tokens_of(searchable(kept.words, self.config, self.mixed), "text", "text_padded", self.config.arity)
+        ranks = Ranks(ranked(tokens, "text", counts, self.config.arity).persist(), counts)
+        return replace(kept, index=kept.postings.persist(), ranking=ranks)
 
     def unpersist(self) -> None:
-        for df in (self.words, self.index):
+        ranks = self.ranking
+        for df in (self.words, self.index, *((ranks.words, ranks.counts) if ranks else ())):
             if df is not None:
                 df.unpersist()
 
@@ -109,7 +137,7 @@ class Corpus:
     def _with(self, more: DataFrame, mixed: bool) -> Corpus:
         both = self.words.withColumn("seq", F.lit(0)).unionByName(more.withColumn("seq", F.lit(1)))
         last = both.groupBy("text").agg(F.max(F.struct("seq", "text_padded", "arity", "n_chars")).alias("w"))
-        return replace(self, words=last.select("text", "w.text_padded", "w.arity", "w.n_chars"), index=None, mixed=mixed)
+        return replace(self, words=last.select("text", "w.text_padded", "w.arity", "w.n_chars"), index=None, ranking=None, stored=False, mixed=mixed)
 
     def is_empty(self) -> bool:
         return self.words.isEmpty()
@@ -162,10 +190,16 @@ def _map_by_arity(corpus: Corpus):
     return gram_map(F.col("text_padded"), corpus.config.arity)
 
 
+def searchable(words: DataFrame, config: GramConfig, mixed: bool) -> DataFrame:
+    """Of words that pad to one text the first is searched; those of another
+    arity can't share a gram."""
+    if not mixed:
+        return words
+    return words.filter(F.col("arity") == config.arity).groupBy("text_padded", "arity", "n_chars").agg(F.min("text").alias("text"))
+
+
 def postings_of(words: DataFrame, config: GramConfig, mixed: bool) -> DataFrame:
-    if mixed:  # of words that pad to one text the first is searched; others' arity can't share a gram
-        words = words.filter(F.col("arity") == config.arity).groupBy("text_padded", "arity", "n_chars").agg(F.min("text").alias("text"))
-    windows = words.select("text", "n_chars", F.explode(ngrams(F.col("text_padded"), config.arity)).alias("gram"))
+    windows = searchable(words, config, mixed).select("text", "n_chars", F.explode(ngrams(F.col("text_padded"), config.arity)).alias("gram"))
     return windows.groupBy("text", "n_chars", "gram").agg(F.count("*").cast("int").alias("cnt")).select("gram", "text", "n_chars", "cnt")
 
 

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import count_grams, matches, ngrams, pad_text, similarity
 from ..functions.similarity import all_grams
-from ..plans.pruning import enough_shared, jaccard_bound, prefix_length, sizes_fit
+from ..plans.pruning import jaccard_bound, sizes_fit
 from .corpus import Corpus
+from .prefix import compare, prefixes, ranked, tokens_of
 
 #: Rows of queries up to which their grams are broadcast.
 BROADCAST_QUERIES = 10_000
@@ -44,27 +46,40 @@ def score(corpus: Corpus, queries: DataFrame, column: str, id_cols: list[str], t
     return scored.filter(matches(F.col("similarity"), threshold)).select(*id_cols, "text", "same", "all", "similarity")
 
 
-def _numbered(k: Column) -> Column:
-    """The k-th occurrence of a gram, as a number."""
-    return F.xxhash64(F.col("gram"), k)
-
-
 def search(corpus: Corpus, text: str, threshold: float, limit: int = 10, warp: float = 2.0, *, double: bool = False) -> DataFrame:
     """``text, similarity`` of the best ``limit`` words, best first, equal ones
     by text. The similarity is a 32-bit float unless ``double``."""
     query = corpus.words.sparkSession.range(1).select(F.lit(text).alias("query"))
+    if corpus.stored:  # only the files' parts that hold one of the query's grams are read
+        grams = [r.gram for r in _query_grams(corpus, query, "query", []).select("gram").collect()]
+        corpus = replace(corpus, index=corpus.postings.filter(F.col("gram").isin(grams)), stored=False)
     found = score(corpus, query, "query", [], threshold, warp, small=True)
     kept = F.col("similarity") if double else F.col("similarity").cast("float").alias("similarity")
     return found.select("text", kept).orderBy(F.desc("similarity"), "text").limit(max(0, limit))
 
 
 def search_batch(corpus: Corpus, queries: DataFrame, column: str, threshold: float, limit: int = 10, warp: float = 2.0, *, n_queries: int | None = None) -> DataFrame:
-    """``query, rank, text, similarity`` (double) for each distinct query. The
-    queries' grams are broadcast only where ``n_queries`` says that there are
-    few."""
-    asked = queries.select(F.col(column).alias("query")).dropDuplicates()
-    small = n_queries is not None and n_queries <= BROADCAST_QUERIES
-    found = score(corpus, asked, "query", ["query"], threshold, warp, small=small)
+    """``query, rank, text, similarity`` (double) for each distinct query.
+
+    Queries meet the words at their rarest grams, as many as the threshold needs;
+    at a threshold of 0 or less, at all. Queries are broadcast where there are
+    few; unless ``n_queries`` tells their number, they are counted first.
+    """
+    asked = queries.select(F.col(column).alias("query")).filter("query is not null").dropDuplicates()
+    if n_queries is None:
+        n_queries = asked.limit(BROADCAST_QUERIES + 1).count()
+    small = n_queries <= BROADCAST_QUERIES
+    bound = jaccard_bound(threshold, warp)
+    if bound <= 0 or math.isnan(warp):
+        found = score(corpus, asked, "query", ["query"], threshold, warp, small=small)
+    else:
+        arity, ranks = corpus.config.arity, corpus.ranks
+        padded = asked.withColumn("padded", pad_text(corpus.transformer(F.col("query")), corpus.config)).filter("padded is not null")
+        left = prefixes(ranked(tokens_of(padded, "query", "padded", arity), "query", ranks.counts, arity), "query", "a", bound)
+        right = prefixes(ranks.words, "text", "b", bound)
+        met = right.join(F.broadcast(left) if small else left, "token")
+        found = compare(met, bound, arity).withColumn("similarity", similarity(F.col("same"), F.col("all"), warp))
+        found = found.filter(matches(F.col("similarity"), threshold)).select(F.col("a_text").alias("query"), F.col("b_text").alias("text"), "similarity")
     best = Window.partitionBy("query").orderBy(F.desc("similarity"), "text")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit).select("query", "rank", "text", "similarity")
 
@@ -73,38 +88,18 @@ def similarity_join(corpus: Corpus, threshold: float, warp: float = 2.0, *, stra
     """``a, b, same, all, similarity`` (double) of all pairs of words with
     ``a < b`` that reach the threshold (and share a gram).
 
-    ``prefix`` numbers repeated grams, orders each word's grams from rare to
-    frequent and joins only on the first few, as many as the threshold needs;
-    ``index`` joins on all. Candidates are then compared by all their grams.
+    ``prefix`` joins on each word's rarest grams only, as many as the threshold
+    needs; ``index`` on all.
     """
     arity, bound = corpus.config.arity, jaccard_bound(threshold, warp)
     if strategy == "index" or bound <= 0:
         left = corpus.postings.select("gram", F.col("text").alias("a"), F.col("n_chars").alias("a_chars"), F.col("cnt").alias("a_cnt"))
         right = corpus.postings.select("gram", F.col("text").alias("b"), F.col("n_chars").alias("b_chars"), F.col("cnt").alias("b_cnt"))
         pairs = left.join(right, "gram").filter("a < b").groupBy("a", "b", "a_chars", "b_chars").agg(F.sum(F.least("a_cnt", "b_cnt")).cast("long").alias("same"))
+        pairs = pairs.withColumn("all", all_grams(F.col("a_chars"), F.col("b_chars"), F.col("same"), arity))
     else:
-        # numbered grams make a multiset a set: what two words share is an intersection
-        tokens = corpus.postings.select("text", "n_chars", F.explode(F.transform(F.sequence(F.lit(1), F.col("cnt")), _numbered)).alias("token"))
-        rarity = tokens.groupBy("token").agg(F.count("*").alias("df"))
-        ordered = tokens.join(rarity, "token").groupBy("text", "n_chars").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
-        size = count_grams(F.col("n_chars"), arity)
-        held = ordered.select(F.xxhash64("text").alias("id"), "text", "n_chars", size.alias("size"), F.col("t.token").alias("tokens"))
-        first = held.select("id", "size", F.posexplode(F.slice("tokens", F.lit(1), prefix_length(F.col("size"), bound).cast("int"))).alias("at", "token"))
-        left = first.select("token", F.col("id").alias("ia"), F.col("size").alias("sa"), F.col("at").alias("pa"))
-        right = first.select("token", F.col("id").alias("ib"), F.col("size").alias("sb"), F.col("at").alias("pb"))
-        # what stands after both places bounds what the two can still share
-        rest = F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb"))
-        fit = sizes_fit(F.col("sa"), F.col("sb"), bound) & enough_shared(rest, F.col("sa"), F.col("sb"), bound)
-        near = left.join(right, "token").filter((F.col("ia") < F.col("ib")) & fit).select("ia", "ib").distinct()
-        one = held.select(F.col("id").alias("ia"), F.col("text").alias("x"), F.col("n_chars").alias("xc"), F.col("tokens").alias("xt"))
-        two = held.select(F.col("id").alias("ib"), F.col("text").alias("y"), F.col("n_chars").alias("yc"), F.col("tokens").alias("yt"))
-        pairs = near.join(one, "ia").join(two, "ib").withColumn("same", F.size(F.array_intersect("xt", "yt")).cast("long"))
-        swap = F.col("x") > F.col("y")
-        pairs = pairs.select(
-            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
-            F.when(swap, F.col("yc")).otherwise(F.col("xc")).alias("a_chars"), F.when(swap, F.col("xc")).otherwise(F.col("yc")).alias("b_chars"), "same",
-        )
-        pairs = pairs.filter(enough_shared(F.col("same"), count_grams(F.col("a_chars"), arity), count_grams(F.col("b_chars"), arity), bound))
-    scored = pairs.withColumn("all", all_grams(F.col("a_chars"), F.col("b_chars"), F.col("same"), arity))
-    scored = scored.withColumn("similarity", similarity(F.col("same"), F.col("all"), warp))
+        words = corpus.ranks.words
+        met = prefixes(words, "text", "a", bound).join(prefixes(words, "text", "b", bound), "token").filter("a_text < b_text")
+        pairs = compare(met, bound, arity).select(F.col("a_text").alias("a"), F.col("b_text").alias("b"), "same", "all")
+    scored = pairs.withColumn("similarity", similarity(F.col("same"), F.col("all"), warp))
     return scored.filter(matches(F.col("similarity"), threshold)).select("a", "b", "same", "all", "similarity")
