@@ -11,6 +11,10 @@ from .config import clamp_warp, single
 from .grams import count_gram
 
 
+#: Numbers from which a cube may not fit a long.
+LARGE = 2_000_000
+
+
 def same_grams(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two gram maps."""
     shared = F.transform(F.map_keys(a), lambda g: F.least(count_gram(a, g), count_gram(b, g)))
@@ -40,7 +44,9 @@ def similarity(same: Column, all_: Column, warp: float) -> Column:
     elif w == 2:
         value = (all_ * all_ - rest * rest).cast("double") / (all_ * all_).cast("double")
     elif w == 3:
-        value = (all_ * all_ * all_ - rest * rest * rest).cast("double") / (all_ * all_ * all_).cast("double")
+        # cubes of larger numbers don't fit a long
+        exact = (all_ * all_ * all_ - rest * rest * rest).cast("double") / (all_ * all_ * all_).cast("double")
+        value = F.when(all_ < LARGE, exact).otherwise(F.lit(1.0) - F.pow(rest.cast("double") / all_.cast("double"), F.lit(3.0)))
     else:
         power = F.pow(all_.cast("double"), F.lit(w))
         value = (power - F.pow(rest.cast("double"), F.lit(w))) / power

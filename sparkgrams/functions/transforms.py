@@ -59,7 +59,7 @@ def lower(column: Column) -> Column:
 
 def strip_scheme(column: Column) -> Column:
     """A url without what stands up to its first ``://``."""
-    return F.regexp_replace(column, r"^[^:]*://", "")
+    return F.regexp_replace(column, r"(?s)^.*?://", "")
 
 
 def from_pandas(fn, name: str = "pandas") -> Transform:

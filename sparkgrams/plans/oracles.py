@@ -40,6 +40,9 @@ PAIRS = f"""WITH {NAME_GRAMS},
           FROM q LEFT JOIN s ON q.a = s.a AND q.b = s.b)"""
 
 
+ALL_PAIRS = PAIRS.replace("JOIN n y USING (f)", "CROSS JOIN n y")
+
+
 def pair_sim(warp: float, digits: int | None = None) -> str:
     value = sim(warp)
     return f"{PAIRS} SELECT a, b, {value if digits is None else f'round({value}, {digits})'} AS sim FROM z"
@@ -74,7 +77,7 @@ def url_join(threshold: float, columns: str) -> str:
 
 _PADDED_NAMES = f"SELECT DISTINCT p_name AS text, ' ' || p_name || ' ' AS p FROM part"
 _TYPE_NAMES = "SELECT lower(p_type) AS text FROM part"
-_CLEAN_URLS = "SELECT lower(regexp_replace(url, '^[^:]*://', '')) AS text FROM pages"
+_CLEAN_URLS = "SELECT lower(regexp_replace(url, '^.*?://', '')) AS text FROM pages"
 _REGIONS = "SELECT r_name AS text FROM region"
 _NATIONS = "SELECT n_name AS text FROM nation"
 _MIXED = f"""t AS (SELECT r_name AS text, CASE WHEN r_regionkey = 1 THEN '--' || r_name || '++' ELSE ' ' || r_name || ' ' END AS p FROM region
@@ -91,17 +94,28 @@ _ZERO = f"""WITH {grams(_REGIONS, 3)},
                  CASE WHEN least(length(q.a), length(q.b)) < 3 THEN 0 ELSE CAST(length(q.a) + length(q.b) - 4 - coalesce(same, 0) AS BIGINT) END AS al
           FROM q LEFT JOIN s ON q.a = s.a AND q.b = s.b)
     SELECT a, b, {sim(2)} AS sim FROM z"""
-_BATCH = rf"""WITH {grams(WORDS, 2, ' ', ' ')},
-    q AS (SELECT DISTINCT w AS query, ' ' || w || ' ' AS p FROM (SELECT unnest(string_split_regex(text, '\s+')) AS w FROM benchmark) WHERE length(w) >= 12),
+def batch(words: str, queries: str, threshold: float) -> str:
+    return rf"""WITH {grams(words, 2, ' ', ' ')},
+    q AS (SELECT DISTINCT w AS query, ' ' || w || ' ' AS p FROM ({queries}) WHERE w <> ''),
     qg AS (SELECT query, length(p) AS ql, unnest(list_transform(range(1, length(p)), lambda i: substring(p, i, 2))) AS g FROM q),
     qk AS (SELECT query, ql, g, count(*) AS qc FROM qg GROUP BY ALL),
     m AS (SELECT query, text, len, ql, CAST(sum(least(c, qc)) AS BIGINT) AS same FROM k JOIN qk USING (g) GROUP BY ALL),
     z AS (SELECT query, text, same, CAST(len + ql - 2 - same AS BIGINT) AS al FROM m),
     v AS (SELECT query, text, {sim(2)} AS similarity FROM z),
     r AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, text) AS rank, text, similarity FROM v
-          WHERE CAST(similarity AS FLOAT) >= CAST(0.7 AS FLOAT))
+          WHERE CAST(similarity AS FLOAT) >= CAST({threshold} AS FLOAT))
     SELECT * FROM r WHERE rank <= 3"""
 
+
+def single(found: str) -> str:
+    """Similarities as 32-bit floats, to four places."""
+    return f"SELECT text, round(CAST(CAST(similarity AS FLOAT) AS DOUBLE), 4) AS similarity FROM ({found})"
+
+
+_BENCHMARK = r"SELECT unnest(string_split_regex(text, '\s+')) AS w FROM benchmark"
+_REPR = "Corpus(GramConfig(arity=2, pad_left=Pad(kind='auto', literal=''), pad_right=Pad(kind='auto', literal='')), transformers=['lower'], words=struct<text:string,text_padded:string,arity:int,n_chars:int>)"
+_EMOJI = "SELECT unnest(['😏🍆', 'ba', 'cd']) AS text"
+
 ORACLES = {
     "gram_counts_a2_auto": counted(NAMES, 2, " ", " "),
     "gram_counts_a1_nopad": counted(NAMES, 1),
@@ -123,7 +137,7 @@ ORACLES = {
     "pair_similarity_w25": pair_sim(2.5, 6),
     "warp_clamp": f"{PAIRS} SELECT a, b, {sim(1)} AS low, {sim(3)} AS high FROM z",
     "matches_threshold_zero": _ZERO,
-    "matches_threshold": f"{PAIRS}, v AS (SELECT a, b, {sim(2)} AS sim FROM z) SELECT a, b, sim FROM v WHERE CAST(sim AS FLOAT) >= CAST(0.6 AS FLOAT)",
+    "matches_threshold": f"{ALL_PAIRS}, v AS (SELECT a, b, {sim(2)} AS sim FROM z) SELECT a, b, sim FROM v WHERE CAST(sim AS FLOAT) >= CAST(0.6 AS FLOAT)",
     "postings": f"WITH {grams(WORDS, 2, ' ', ' ')} SELECT g AS gram, text, CAST(len AS INTEGER) AS n_chars, c AS cnt FROM k",
     "gram_df_topk": f"WITH {grams(WORDS, 2, ' ', ' ')} SELECT g AS gram, count(*) AS df FROM k GROUP BY g ORDER BY df DESC, gram LIMIT 20",
     "search_topk": by_name("red wigdet", 0.25, 10),
@@ -133,7 +147,7 @@ ORACLES = {
     "search_case_insensitive": searched(grams(_TYPE_NAMES, 2, " ", " "), "economi", 2, " ", " ", 2, 0.1, 10),
     "search_transform_chain": searched(grams(_CLEAN_URLS, 2, " ", " "), "www.example.org/en/", 2, " ", " ", 2, 0.3, 10),
     "search_vocab": searched(grams(WORDS, 2, " ", " "), "pathetik", 2, " ", " ", 2, 0.4, 10),
-    "batch_search_topk": _BATCH,
+    "batch_search_topk": batch(WORDS, _BENCHMARK, 0.7),
     "key_lookup": "SELECT q AS query FROM (SELECT r_name AS q FROM region UNION ALL SELECT upper(n_name) FROM nation) WHERE lower(q) IN (SELECT lower(n_name) FROM nation)",
     "corpus_is_empty": "SELECT 'full' AS corpus, count(*) = 0 AS empty FROM region UNION ALL SELECT 'none', count(*) = 0 FROM region WHERE r_regionkey < 0",
     "add_text_incremental": searched(grams(f"{_REGIONS} UNION ALL {_NATIONS}", 2, " ", " "), "AMERIKA", 2, " ", " ", 2, 0.05, 10),
@@ -141,4 +155,14 @@ ORACLES = {
     "url_similarity_join": url_join(0.5, "a, b, n_same, n_all, sim"),
     "url_similarity_join_pruned": url_join(0.8, "a, b, sim"),
     "corpus_roundtrip": f"WITH {NAME_GRAMS} SELECT g AS gram, text, CAST(len AS INTEGER) AS n_chars, c AS cnt FROM k",
+    "saved_corpus_grows": searched(grams(f"SELECT lower(text) AS text FROM ({_REGIONS} UNION ALL {_NATIONS})", 2, " ", " "), "natiom 1", 2, " ", " ", 2, 0.2, 10),
+    "fill_par": f"WITH {grams(f'{_REGIONS} UNION ALL {_NATIONS}', 2, ' ', ' ')} SELECT g AS gram, text, CAST(len AS INTEGER) AS n_chars, c AS cnt FROM k",
+    "search_par": single(by_name("red wigdet", 0.25, 10)),
+    "search_with_warp_par": single(by_name("old wigdet", 0.2, 10, 1.5)),
+    "identity_transformer": by_name("cold rign", 0.3, 10),
+    "pandas_transformer": searched(grams("SELECT reverse(r_name) AS text FROM region", 2, " ", " "), "AKIREMA", 2, " ", " ", 2, 0.05, 10),
+    "corpus_repr": "SELECT '" + _REPR.replace("'", "''") + "' AS value",
+    "emoji_search": searched(grams(_EMOJI, 1), "🍆d", 1, "", "", 2, 0.3, 10),
+    "streamed_searches": batch(f"{_REGIONS} UNION ALL {_NATIONS}", "SELECT n_name AS w FROM nation", 0.6),
+    "streamed_corpus": f"SELECT DISTINCT text, ' ' || text || ' ' AS text_padded, CAST(2 AS INTEGER) AS arity, CAST(length(text) + 2 AS INTEGER) AS n_chars FROM ({_REGIONS} UNION ALL {_NATIONS})",
 }

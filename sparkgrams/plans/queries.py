@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import GramConfig, Pad, char_count, contains, count_gram, count_grams, explode_grams, gram_map, is_empty, pad_text, strip_scheme
+from ..functions import GramConfig, Pad, char_count, contains, count_gram, count_grams, explode_grams, from_pandas, gram_map, identity, is_empty, pad_text, strip_scheme
 from ..operators import Corpus, CorpusBuilder, compare_pairs, match_pairs, ngram_rows, search_batch, similarity_join
 from ..operators.search import search
+from ..sources.shared import shared_dir
 from ..sources.texts import words_of
+from ..streaming import append_stream, generations, search_stream
 
 CUSTOM = GramConfig(2, Pad.of("--"), Pad.of("++"))
 LEFT_ONLY = GramConfig(2, Pad.auto(), Pad.none())
@@ -103,7 +104,12 @@ def matches_threshold_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matches_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match_pairs(_pairs(spark, sf_dir), "a", "b", GramConfig(), 0.6).withColumnRenamed("similarity", "sim")
+    """Of all pairs of names, both ways round: candidates come from the prefix
+    join, the comparison is that of given pairs."""
+    near = similarity_join(name_corpus(spark, sf_dir), 0.6).select("a", "b")
+    same = names(spark, sf_dir).select(F.col("p_name").alias("a"), F.col("p_name").alias("b"))
+    pairs = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same)
+    return match_pairs(pairs, "a", "b", GramConfig(), 0.6).withColumnRenamed("similarity", "sim")
 
 
 def distinct_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +152,7 @@ def search_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = words_of(table(spark, sf_dir, "benchmark"), "text").filter(F.length("text") >= 12)
+    queries = words_of(table(spark, sf_dir, "benchmark"), "text")
     found = search_batch(vocabulary(spark, sf_dir), queries, "text", 0.7, 3)
     return found.select("query", F.col("rank").cast("long").alias("rank"), "text", "similarity")
 
@@ -190,13 +196,91 @@ def url_similarity_join_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("a", "b", F.col("similarity").alias("sim"))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def corpus_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{base.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    path = _folder(spark, "corpus")
     name_corpus(spark, sf_dir).save(path)
     return Corpus.load(spark, path).postings.select("gram", "text", "n_chars", "cnt")
 
 
+def saved_corpus_grows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved, loaded, grown, saved and loaded again, with its transformer."""
+    path = _folder(spark, "corpus")
+    CorpusBuilder().fill(table(spark, sf_dir, "region"), "r_name").case_insensitive().finish().save(f"{path}/a")
+    Corpus.load(spark, f"{path}/a").add_text(table(spark, sf_dir, "nation"), "n_name").save(f"{path}/b")
+    return search(Corpus.load(spark, f"{path}/b"), "NATIOM 1", 0.2, 10, double=True)
+
+
+def fill_par(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = CorpusBuilder().fill_par(table(spark, sf_dir, "nation"), "n_name").fill_par(table(spark, sf_dir, "region"), "r_name").finish()
+    return corpus.postings.select("gram", "text", "n_chars", "cnt")
+
+
+def _single(found: DataFrame) -> DataFrame:
+    return found.select("text", F.round(F.col("similarity").cast("double"), 4).alias("similarity"))
+
+
+def search_par(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _single(name_corpus(spark, sf_dir).search_par("red wigdet", 0.25, 10))
+
+
+def search_with_warp_par(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _single(name_corpus(spark, sf_dir).search_with_warp_par("old wigdet", 1.5, 0.2, 10))
+
+
+def identity_transformer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = CorpusBuilder().fill(names(spark, sf_dir), "p_name").link_key_transformer(identity).finish()
+    return search(corpus, "cold rign", 0.3, 10, double=True)
+
+
+def corpus_repr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = CorpusBuilder().fill(table(spark, sf_dir, "region"), "r_name").case_insensitive().finish()
+    return spark.createDataFrame([(repr(corpus),)], "value string")
+
+
+def emoji_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = CorpusBuilder().arity(1).pad_full(Pad.none()).fill(["😏🍆", "ba", "cd"], spark=spark).finish()
+    return search(corpus, "🍆d", 0.3, 10, double=True)
+
+
+def pandas_transformer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A transformer of the user's own, of texts and queries alike."""
+    backwards = from_pandas(lambda s: s.str[::-1], "backwards")
+    corpus = CorpusBuilder().fill(table(spark, sf_dir, "region"), "r_name").link_key_transformer(backwards, "backwards").finish()
+    return search(corpus, "AMERIKA", 0.05, 10, double=True)
+
+
+def streamed_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of queries, answered a file at a time."""
+    path = _folder(spark, "stream")
+    asked = table(spark, sf_dir, "nation").select(F.col("n_name").alias("q"))
+    asked.repartition(3).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema("q string").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    corpus = CorpusBuilder().fill(table(spark, sf_dir, "region"), "r_name").fill(table(spark, sf_dir, "nation"), "n_name").finish()
+
+    def keep(found: DataFrame, number: int) -> None:
+        found.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    search_stream(corpus, stream, "q", keep, 0.6, 3, checkpoint=f"{path}/progress").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("query", F.col("rank").cast("long").alias("rank"), "text", "similarity")
+
+
+def streamed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus grown by a stream that is stopped and started again."""
+    path = _folder(spark, "stream")
+    corpus = CorpusBuilder().fill(table(spark, sf_dir, "region"), "r_name").finish()
+    for part in range(2):
+        half = table(spark, sf_dir, "nation").filter(F.col("n_nationkey") % 2 == part)
+        half.select(F.col("n_name").alias("t")).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema("t string").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        append_stream(stream, "t", f"{path}/corpus", corpus, checkpoint=f"{path}/progress").awaitTermination()
+    last = generations(spark, f"{path}/corpus")[-1]
+    return Corpus.load(spark, f"{path}/corpus/{last}").words.select("text", "text_padded", "arity", "n_chars")
+
+
 QUERIES = {
     "gram_counts_a2_auto": partial(_grams, "part", "p_name", GramConfig()),
     "gram_counts_a1_nopad": partial(_grams, "part", "p_name", NO_PAD),
@@ -236,4 +320,14 @@ QUERIES = {
     "url_similarity_join": url_similarity_join,
     "url_similarity_join_pruned": url_similarity_join_pruned,
     "corpus_roundtrip": corpus_roundtrip,
+    "saved_corpus_grows": saved_corpus_grows,
+    "fill_par": fill_par,
+    "search_par": search_par,
+    "search_with_warp_par": search_with_warp_par,
+    "identity_transformer": identity_transformer,
+    "pandas_transformer": pandas_transformer,
+    "corpus_repr": corpus_repr,
+    "emoji_search": emoji_search,
+    "streamed_searches": streamed_searches,
+    "streamed_corpus": streamed_corpus,
 }

@@ -1,5 +1,5 @@
 """Structured Streaming over a corpus."""
 
-from .search import append_stream, search_stream
+from .search import append_stream, generations, search_stream
 
-__all__ = ["append_stream", "search_stream"]
+__all__ = ["append_stream", "generations", "search_stream"]
