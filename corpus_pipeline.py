@@ -3,6 +3,18 @@
 Each stage takes what the one before kept, in the columns of ``documents``, and
 gives the same columns; the last gives the pieces of packed sequences with
 their token ids.
+
+Defined results: an empty table goes through all stages. Other columns than those
+of ``documents`` are dropped, whatever their names. Repeated rows are repeats of one
+document: those of an id that the quality or the leak stage rejects all go, and the
+others stay together through all stages. Rows that share an id but not a text are
+judged by their own texts in the near-duplicate and passage stages. Rows with a null
+id can't be named: no stage drops them or takes them for another's copy, and their
+passages stay. Null texts are empty ones: they are scored as such, have no
+duplicates, passages or leaks, and are packed as their end token alone; other null
+columns stay null. Of equal texts the smallest id stays. Texts of any length are
+read whole. Without labels of both kinds no quality can be told, and all documents
+stay.
 """
 
 from __future__ import annotations
@@ -42,6 +54,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     model = fit_quality(docs, table(spark, sf_dir, "labels"), learn=~held, decision=DECISION)
+    if not model.good:
+        return docs.select(*COLUMNS)
     rejected = score_quality(docs, model).filter(F.col("score") < DECISION).select("doc_id")
     return without(docs, materialize(rejected, "rejected"), "doc_id").select(*COLUMNS)
 
