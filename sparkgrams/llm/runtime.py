@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -16,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 PACKAGE_DIR = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SLICE_BYTES = 4 << 20
 #: Paths of intermediate tables, by what they were made for.
@@ -34,44 +37,26 @@ def session_of(df: DataFrame) -> SparkSession:
 
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors once per Spark application, and bound
-    the session's Arrow batches."""
+    the session's Arrow batches: a setting of the session that stays."""
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(rows)) > BATCH_ROWS or int(spark.conf.get(rows)) <= 0:
         spark.conf.set(rows, str(BATCH_ROWS))
     context = spark.sparkContext
     if getattr(context, "_sparkgrams_shipped", False):
         return
-    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="sparkgrams-")), "sparkgrams_pkg.zip")
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="sparkgrams-"))  # the driver's own; Spark serves the file
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "sparkgrams_pkg.zip")
     with zipfile.ZipFile(path, "w") as archive:
-        for folder, _, names in os.walk(PACKAGE_DIR):
+        for at, _, names in os.walk(PACKAGE_DIR):
             for name in sorted(names):
                 if name.endswith(".py"):
-                    full = os.path.join(folder, name)
+                    full = os.path.join(at, name)
                     archive.write(full, os.path.relpath(full, os.path.dirname(PACKAGE_DIR)))
     context.addPyFile(path)
     context._sparkgrams_shipped = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the session's
-    ``spark.checkpoint.dir``. Only where that is unset one of its own is used:
-    on a single machine a temporary folder, else one in the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and spark.sparkContext.master.startswith("local["):
-        base = os.path.join(tempfile.gettempdir(), f"sparkgrams-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", base)
-        atexit.register(_remove_local, base)
-    elif not base:
-        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_sparkgrams"
-    return base.rstrip("/")
-
-
-def _remove_local(path: str) -> None:
-    import shutil
-
-    shutil.rmtree(path, ignore_errors=True)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to a table in the shared folder and read it back: the
     lineage ends there, and a lost executor costs no recomputation."""
