@@ -35,7 +35,7 @@ whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 
 import numpy as np
@@ -163,23 +163,21 @@ def _profile(window: int):
 
 
 #: A stretch: its group, its words' hash, its document, what it was cut from (a
-#: row or a stretch), where there it begins, its windows and words.
-_NAMES = ["key", "d1", "d2", "id", "o1", "o2", "at", "n", "words"]
+#: row or a stretch), where there it begins, and its windows.
+_STRETCH = "key long, d1 long, d2 long, id {kind}, o1 long, o2 long, at int, n int"
+_CLASS = ["key", "d1", "d2"]
+_PLACE = ["id", "o1", "o2", "at"]
 
 
-def _schema(kind: str) -> str:
-    return f"key long, d1 long, d2 long, id {kind}, o1 long, o2 long, at int, n int, words binary"
+def _digest(words: np.ndarray) -> tuple[int, int]:
+    digest = xxhash.xxh3_128_digest(words.tobytes())
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def _stretch_row(key: int, h: np.ndarray, ident, o1: int, o2: int, at: int, n: int) -> tuple:
-    words = h.tobytes()
-    digest = xxhash.xxh3_128_digest(words)
-    return (key, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), ident, o1, o2, at, n, words)
-
-
-def _rows(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 3 + [kind] + [pa.int64()] * 2 + [pa.int32()] * 2 + [pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], _NAMES)
+def _rows(rows: list[tuple], kind: pa.DataType, words: bool) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 3 + [kind] + [pa.int64()] * 2 + [pa.int32()] * 2 + [pa.binary()] * words
+    names = [*_CLASS, *_PLACE, "n", *["words"] * words]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def _stretches(window: int):
@@ -191,13 +189,32 @@ def _stretches(window: int):
             meta = zip(batch.column("id").to_pylist(), batch.column("rid").to_pylist(), batch.column("runs").to_pylist(), as_bytes(batch.column("text")), strict=True)
             for ident, rid, found, raw in meta:
                 h = hashes(raw.split())
-                for r in found:
-                    rows.append(_stretch_row(r["key"], h[r["at"] : r["at"] + r["n"] + window - 1], ident, rid, 0, r["at"], r["n"]))
+                rows += [(r["key"], *_digest(h[r["at"] : r["at"] + r["n"] + window - 1]), ident, rid, 0, r["at"], r["n"]) for r in found]
                 if len(rows) > ROWS:
-                    yield _rows(rows, kind)
+                    yield _rows(rows, kind, False)
                     rows = []
             if rows:
-                yield _rows(rows, kind)
+                yield _rows(rows, kind, False)
+
+    return run
+
+
+def _words(window: int):
+    """The words of the stretches asked for, per document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*_CLASS, "id", "large", "words"]
+        for batch in slices(batches, "text"):
+            kinds, rows = [pa.int64()] * 3 + [batch.column("id").type, pa.bool_(), pa.binary()], []
+            meta = zip(batch.column("id").to_pylist(), batch.column("runs").to_pylist(), as_bytes(batch.column("text")), strict=True)
+            for ident, found, raw in meta:
+                h = hashes(raw.split())
+                rows += [(r["key"], r["d1"], r["d2"], ident, r["large"], h[r["at"] : r["at"] + r["n"] + window - 1].tobytes()) for r in found]
+                if len(rows) > ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return run
 
@@ -210,13 +227,15 @@ def _split(window: int, size: int):
             kind, rows = batch.column("id").type, []
             for d1, d2, ident, words in zip(*(batch.column(c).to_pylist() for c in ("d1", "d2", "id", "words")), strict=True):
                 h = np.frombuffer(words, np.uint64)
-                for key, at, n in zip(*(x.tolist() for x in (anchors(h, window, size)[0].view(np.int64), *anchors(h, window, size)[1:])), strict=True):
-                    rows.append(_stretch_row(key, h[at : at + n + window - 1], ident, d1, d2, at, n))
+                keys, ats, ns = anchors(h, window, size)
+                for key, at, n in zip(keys.view(np.int64).tolist(), ats.tolist(), ns.tolist(), strict=True):
+                    part = h[at : at + n + window - 1]
+                    rows.append((key, *_digest(part), ident, d1, d2, at, n, part.tobytes()))
                 if len(rows) > ROWS:
-                    yield _rows(rows, kind)
+                    yield _rows(rows, kind, True)
                     rows = []
             if rows:
-                yield _rows(rows, kind)
+                yield _rows(rows, kind, True)
 
     return run
 
@@ -225,7 +244,7 @@ def _trees(window: int, tree_words: int):
     """Rows sorted by key: builds the trees of whole groups, some at a time, and
     gives the runs of repeats of each stretch."""
 
-    def solve(rows: list[tuple]) -> pa.RecordBatch | None:
+    def solve(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch | None:
         lengths = np.array([len(r[4]) // 8 for r in rows])
         counts = lengths - window + 1
         symbols = np.frombuffer(b"".join(r[4] for r in rows), np.uint64)
@@ -246,53 +265,61 @@ def _trees(window: int, tree_words: int):
         n = np.append(total[edge[1:] - 1], total[-1]) - (total[edge] - 1)
         of = owner[edge].tolist()
         return pa.RecordBatch.from_arrays(
-            [pa.array([rows[o][1] for o in of], pa.int64()), pa.array([rows[o][2] for o in of], pa.int64()), pa.array(inside[edge].astype(np.int32)), pa.array(n.astype(np.int32))],
-            ["d1", "d2", "at", "n"],
+            [pa.array([rows[o][1] for o in of], pa.int64()), pa.array([rows[o][2] for o in of], pa.int64()), pa.array([rows[o][3] for o in of], kind), pa.array(inside[edge].astype(np.int32)), pa.array(n.astype(np.int32))],
+            ["d1", "d2", "id", "run_at", "run_n"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = 0
+        size, kind = 0, None
         for batch in batches:
+            kind = batch.column("id").type
             for row in zip(*(batch.column(c).to_pylist() for c in ("key", "d1", "d2", "id", "words")), strict=True):
                 if size >= tree_words and row[0] != held[-1][0]:
-                    found = solve(held)
+                    found = solve(held, kind)
                     if found is not None:
                         yield found
                     held, size = [], 0
                 held.append(row)
                 size += len(row[4]) // 8
         if held:
-            found = solve(held)
+            found = solve(held, kind)
             if found is not None:
                 yield found
 
     return run
 
 
-def _solve(stretches: DataFrame, kind: str, window: int, sizes: list[int], group_limit: int) -> DataFrame:
-    """Runs of repeated windows (o1, o2, id, at, n) of what the stretches were
-    cut from. ``sizes`` are the prefix lengths from that of the stretches on."""
-    by = ["key", "d1", "d2"]
-    classes = materialize(stretches.groupBy(*by).agg(F.min("id").alias("least"), F.first("words").alias("words")), "classes")
-    members = stretches.select(*by, "id", "o1", "o2", "at", "n").join(classes.select(*by, "least"), by)
-    members = materialize(members, "stretch_members")
-    groups = classes.groupBy("key").agg(F.min("least").alias("lo"), F.max("least").alias("hi"), F.count("*").alias("c")).filter("lo < hi")
-    groups = materialize(groups.select("key", (F.col("c") > group_limit).alias("large")), "groups")
-    mixed = classes.withColumnRenamed("least", "id").join(groups, "key")
-    copies = members.filter("id > least").select("o1", "o2", "id", "at", "n")
+def _solve(stretches: DataFrame, words_of: Callable[[DataFrame], DataFrame], kind: str, window: int, sizes: list[int], group_limit: int) -> DataFrame:
+    """Runs of repeated windows (o1, o2, id, at, n) of what the stretches (a
+    written table) were cut from. ``words_of`` gives the words of classes, and
+    ``sizes`` are the prefix lengths from that of the stretches on. Only what has
+    a partner is joined: most stretches are alone."""
+    first = F.min(F.struct(*_PLACE, "n")).alias("f")
+    classes = materialize(stretches.groupBy(*_CLASS).agg(first, F.count("*").alias("c")).select(*_CLASS, "f.*", "c"), "classes")
+    several = classes.filter("c > 1").select(*_CLASS, F.col("id").alias("least"))
+    copies = sieve(stretches, several, "d1").join(several, _CLASS).filter("id > least").select("o1", "o2", "id", "at", "n")
     if len(sizes) == 1:
         return copies  # a class is a node of the tree: its smallest id repeats nothing
-    fit = mixed.filter("not large").select(*by, "id", "words").repartition("key").sortWithinPartitions("key")
-    found = fit.mapInArrow(_trees(window, TREE_WORDS), "d1 long, d2 long, at int, n int")
-    if not groups.filter("large").isEmpty():
-        deeper = mixed.filter("large").select("d1", "d2", "id", "words").mapInArrow(_split(window, sizes[1]), _schema(kind))
-        below = _solve(materialize(deeper, "stretches"), kind, window, sizes[1:], group_limit)
-        found = found.unionByName(below.select(F.col("o1").alias("d1"), F.col("o2").alias("d2"), "at", "n"))
-    found = found.withColumnsRenamed({"at": "run_at", "n": "run_n"})
-    firsts = members.filter("id = least").select("d1", "d2", "o1", "o2", "id", "at").join(found, ["d1", "d2"])
-    firsts = firsts.select("o1", "o2", "id", (F.col("at") + F.col("run_at")).alias("at"), F.col("run_n").alias("n"))
-    return copies.unionByName(firsts)
+    groups = classes.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).filter("lo < hi")
+    groups = materialize(groups.select("key", (F.col("c") > group_limit).alias("large")), "groups")
+    large = not groups.filter("large").isEmpty()
+    mixed = words_of(sieve(classes, groups, "key").join(groups, "key").drop("c"))
+    mixed = materialize(mixed, "mixed") if large else mixed
+    fit = mixed.filter("not large").select(*_CLASS, "id", "words").repartition("key").sortWithinPartitions("key")
+    found = fit.mapInArrow(_trees(window, TREE_WORDS), f"d1 long, d2 long, id {kind}, run_at int, run_n int")
+    if large:
+        deeper = mixed.filter("large").select("d1", "d2", "id", "words").mapInArrow(_split(window, sizes[1]), f"{_STRETCH.format(kind=kind)}, words binary")
+        deeper = materialize(deeper, "stretches")
+
+        def of_deeper(wanted: DataFrame) -> DataFrame:
+            return deeper.drop("n").join(wanted.drop("n"), [*_CLASS, *_PLACE]).select(*_CLASS, "id", "large", "words")
+
+        below = _solve(deeper.drop("words"), of_deeper, kind, window, sizes[1:], group_limit)
+        found = found.unionByName(below.select(F.col("o1").alias("d1"), F.col("o2").alias("d2"), "id", F.col("at").alias("run_at"), F.col("n").alias("run_n")))
+    found = materialize(found, "found")
+    firsts = sieve(stretches, found.select("d1").distinct(), "d1").join(found, ["d1", "d2", "id"])
+    return copies.unionByName(firsts.select("o1", "o2", "id", (F.col("at") + F.col("run_at")).alias("at"), F.col("run_n").alias("n")))
 
 
 def find_repeats(docs: DataFrame, *, window: int = WINDOW, group_limit: int = GROUP_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,8 +346,15 @@ def find_repeats(docs: DataFrame, *, window: int = WINDOW, group_limit: int = GR
     wanted = sieve(own, met, "key").join(met, "key").groupBy("id", "rid").agg(F.collect_list(F.struct("key", "at", "n")).alias("runs"))
     wanted = materialize(wanted, "wanted")
     sought = sieve(texts, wanted, "rid").dropDuplicates(["id", "rid"]).join(wanted, ["id", "rid"])
-    stretches = materialize(sought.mapInArrow(_stretches(window), _schema(kind)), "stretches")
-    found = _solve(stretches, kind, window, prefix_lengths(window), group_limit)
+    stretches = materialize(sought.mapInArrow(_stretches(window), _STRETCH.format(kind=kind)), "stretches")
+
+    def of_texts(mixed: DataFrame) -> DataFrame:
+        asked = mixed.groupBy("id", F.col("o1").alias("rid")).agg(F.collect_list(F.struct(*_CLASS, "at", "n", "large")).alias("runs"))
+        asked = materialize(asked, "asked")
+        held = sieve(texts, asked, "rid").dropDuplicates(["id", "rid"]).join(asked, ["id", "rid"])
+        return held.mapInArrow(_words(window), f"key long, d1 long, d2 long, id {kind}, large boolean, words binary")
+
+    found = _solve(stretches, of_texts, kind, window, prefix_lengths(window), group_limit)
     repeats = found.groupBy("id", F.col("o1").alias("rid")).agg(F.collect_list(F.struct("at", "n")).alias("repeats"))
     small = profile.select("id", "rid", "n_words", "digest").join(firsts.select("digest", "least"), "digest", "left")
     return (
