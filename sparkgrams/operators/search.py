@@ -99,7 +99,8 @@ def similarity_join(corpus: Corpus, threshold: float, warp: float = 2.0, *, stra
         pairs = pairs.withColumn("all", all_grams(F.col("a_chars"), F.col("b_chars"), F.col("same"), arity))
     else:
         words = corpus.ranks.words
-        met = prefixes(words, "text", "a", bound).join(prefixes(words, "text", "b", bound), "token").filter("a_text < b_text")
-        pairs = compare(met, bound, arity).select(F.col("a_text").alias("a"), F.col("b_text").alias("b"), "same", "all")
+        met = prefixes(words, "text", "a", bound, smaller=True).join(prefixes(words, "text", "b", bound), "token")
+        met = met.filter("a_size < b_size or (a_size = b_size and a_text < b_text)")
+        pairs = compare(met, bound, arity).select(F.least("a_text", "b_text").alias("a"), F.greatest("a_text", "b_text").alias("b"), "same", "all")
     scored = pairs.withColumn("similarity", similarity(F.col("same"), F.col("all"), warp))
     return scored.filter(matches(F.col("similarity"), threshold)).select("a", "b", "same", "all", "similarity")

@@ -35,5 +35,10 @@ def enough_shared(same: Column, a: Column, b: Column, bound: float) -> Column:
     return same >= F.lit(bound / (1 + bound)) * (a + b) - SLACK
 
 
+def few_apart(apart: Column, a: Column, b: Column, bound: float) -> Column:
+    """For a lower bound of the grams that only one of two texts has."""
+    return apart <= F.lit(1 - 2 * bound / (1 + bound)) * (a + b) + SLACK
+
+
 def prefix_length(size: Column, bound: float) -> Column:
     return size - F.ceil(F.lit(bound) * size) + 1

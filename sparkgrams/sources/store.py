@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from ..functions import GramConfig, KeyTransformer
 
-RANKS = "text string, n_chars int, size long, tokens array<long>"
+RANKS = "text string, n_chars int, size long, tokens array<long>, bits0 long, bits1 long"
 COUNTS = "bucket int, df long"
 
 
