@@ -72,8 +72,9 @@ DEPTHS = 8
 REGION_LIMIT = 32
 #: Rows of a sorted order that are looked at together.
 CHUNK = 100_000
-#: Counts that tell rare shingles from common ones.
-BUCKETS = 1 << 20
+#: Counts that tell rare shingles from common ones, and those in one row.
+BUCKETS = 1 << 17
+PART = 1 << 13
 #: Documents listed under a shingle that one task compares with others.
 LISTED = 1024
 
@@ -282,10 +283,28 @@ def _bucket(shingles: np.ndarray) -> np.ndarray:
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's counts of shingles, in parts: as many rows from any input."""
+    counts = np.zeros(BUCKETS, np.int64)
     for batch in batches:
         flat = batch.column("s").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        bucket, c = np.unique(_bucket(flat), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(c.astype(np.int64))], ["bucket", "c"])
+        counts += np.bincount(_bucket(flat), minlength=BUCKETS)
+    if counts.any():
+        yield _parts(enumerate(counts.reshape(-1, PART)))
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of all tasks' counts of the same part."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, c in zip(batch.column("part").to_pylist(), batch.column("c").to_pylist(), strict=True):
+            total[part] = total.get(part, 0) + np.frombuffer(c, np.int64)
+    if total:
+        yield _parts(total.items())
+
+
+def _parts(found) -> pa.RecordBatch:
+    parts, counts = zip(*found, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([c.tobytes() for c in counts], pa.binary())], ["part", "c"])
 
 
 def _prefixes(counts: np.ndarray, threshold: int):
@@ -325,9 +344,11 @@ def _across(apart: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     different components that is similar enough, and few others."""
     kind = dict(apart.dtypes)["node"]
     held = materialize(sets.join(apart, "node").select("node", "n", "comp", "s"), "apart")
-    tally = held.mapInArrow(_tally, "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
-    counts = np.zeros(BUCKETS, dtype=np.int64)
-    counts[tally.column("bucket").to_numpy()] = tally.column("c").to_numpy()
+    tally = held.mapInArrow(_tally, "part int, c binary").repartition("part").mapInArrow(_add, "part int, c binary").toArrow()
+    counts = np.zeros((BUCKETS // PART, PART), dtype=np.int64)
+    for part, c in zip(tally.column("part").to_pylist(), tally.column("c").to_pylist(), strict=True):
+        counts[part] = np.frombuffer(c, np.int64)
+    counts = counts.reshape(-1)
     listed = held.mapInArrow(_prefixes(counts, threshold), f"node {kind}, n long, comp {kind}, shown long, prefix array<long>")
     listed = materialize(listed.select("node", "n", "comp", "shown", F.posexplode("prefix").alias("at", "t")), "listed")
 
