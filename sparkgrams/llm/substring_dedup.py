@@ -13,8 +13,10 @@ neighbouring windows mostly share theirs, so they travel as one stretch of words
 instead of one by one. Prefixes begin with a third of the window. An anchor that
 no other document has begins no group.
 
-Hot passages. Whole copies of a document are folded into the smallest id first.
-In each group stretches of equal words are one class: what is true of the class's
+Hot passages. Whole copies of a document are folded into the smallest id first,
+then whole passages: neighbouring stretches, parted where an anchor's hash says so,
+are one passage, and of equal passages only those of the smallest id go on. In each
+group stretches of equal words are one class: what is true of the class's
 smallest id is found once, and all its other members are repeats as a whole. A
 group that still has more than ``group_limit`` classes is dealt again by a longer
 prefix (halfway to the window, and so on); stretches that only share the shorter
@@ -54,6 +56,8 @@ GROUP_LIMIT = 4000
 TREE_WORDS = 1 << 20
 #: Windows of one document anchored at once.
 BLOCK = 1 << 22
+#: Bits of an anchor's hash of which one is set where a passage goes on.
+PASSAGE = 3
 #: Rows that go on to Spark at once.
 ROWS = 10_000
 
@@ -180,8 +184,10 @@ def _rows(rows: list[tuple], kind: pa.DataType, words: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def _stretches(window: int):
-    """The anchored runs of a document's windows that others may share."""
+def _passages(window: int):
+    """A document's neighbouring stretches that others may share, put together
+    as far as anchors allow that others have as well: passages, with their
+    stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -189,16 +195,39 @@ def _stretches(window: int):
             meta = zip(batch.column("id").to_pylist(), batch.column("rid").to_pylist(), batch.column("runs").to_pylist(), as_bytes(batch.column("text")), strict=True)
             for ident, rid, found, raw in meta:
                 h = hashes(raw.split())
-                rows += [(r["key"], *_digest(h[r["at"] : r["at"] + r["n"] + window - 1]), ident, rid, 0, r["at"], r["n"]) for r in found]
+                end, held = -1, []
+                for r in sorted(found, key=lambda r: r["at"]):
+                    if held and (r["at"] != end or not r["key"] & PASSAGE):
+                        rows.append(_passage(h, held, ident, rid, end, window))
+                        held = []
+                    end = r["at"] + r["n"]
+                    held.append((r["key"], *_digest(h[r["at"] : end + window - 1]), r["at"], r["n"]))
+                if held:
+                    rows.append(_passage(h, held, ident, rid, end, window))
                 if len(rows) > ROWS:
-                    yield _rows(rows, kind, False)
+                    yield _passage_rows(rows, kind)
                     rows = []
             if rows:
-                yield _rows(rows, kind, False)
+                yield _passage_rows(rows, kind)
 
     return run
 
 
+def _passage(h: np.ndarray, held: list[tuple], ident, rid: int, end: int, window: int) -> tuple:
+    at = held[0][3]
+    return (*_digest(h[at : end + window - 1]), ident, rid, at, end - at, held)
+
+
+def _passage_rows(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    *columns, runs = zip(*rows, strict=True)
+    kinds = [pa.int64(), pa.int64(), kind, pa.int64(), pa.int32(), pa.int32()]
+    flat = list(zip(*[r for held in runs for r in held], strict=True))
+    inner = [pa.array(c, k) for c, k in zip(flat, [pa.int64()] * 3 + [pa.int32()] * 2, strict=True)]
+    offsets = np.cumsum([0, *map(len, runs)]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(inner, names=["key", "d1", "d2", "at", "n"]))
+    return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), lists], ["d1", "d2", "id", "rid", "at", "n", "runs"])
+
+
 def _words(window: int):
     """The words of the stretches asked for, per document."""
 
@@ -346,7 +375,16 @@ def find_repeats(docs: DataFrame, *, window: int = WINDOW, group_limit: int = GR
     wanted = sieve(own, met, "key").join(met, "key").groupBy("id", "rid").agg(F.collect_list(F.struct("key", "at", "n")).alias("runs"))
     wanted = materialize(wanted, "wanted")
     sought = sieve(texts, wanted, "rid").dropDuplicates(["id", "rid"]).join(wanted, ["id", "rid"])
-    stretches = materialize(sought.mapInArrow(_stretches(window), _STRETCH.format(kind=kind)), "stretches")
+    run = "array<struct<key:long,d1:long,d2:long,at:int,n:int>>"
+    passages = materialize(sought.mapInArrow(_passages(window), f"d1 long, d2 long, id {kind}, rid long, at int, n int, runs {run}"), "passages")
+    several = passages.groupBy("d1", "d2").agg(F.min("id").alias("least"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    several = materialize(several, "several")
+    marked = sieve(passages, several, "d1", split=True)
+    judged = materialize(marked.filter("sieve_met").drop("sieve_met").join(several, ["d1", "d2"], "left"), "judged")
+    copies = judged.filter("id > least").select(F.col("rid").alias("o1"), F.lit(0).cast("long").alias("o2"), "id", "at", "n")
+    others = marked.filter("not sieve_met").select("id", "rid", "runs").unionByName(judged.filter("least is null or id = least").select("id", "rid", "runs"))
+    others = others.select("id", F.col("rid").alias("o1"), F.lit(0).cast("long").alias("o2"), F.inline("runs"))
+    stretches = materialize(others.select(*_CLASS, *_PLACE, "n"), "stretches")
 
     def of_texts(mixed: DataFrame) -> DataFrame:
         asked = mixed.groupBy("id", F.col("o1").alias("rid")).agg(F.collect_list(F.struct(*_CLASS, "at", "n", "large")).alias("runs"))
@@ -354,7 +392,7 @@ def find_repeats(docs: DataFrame, *, window: int = WINDOW, group_limit: int = GR
         held = sieve(texts, asked, "rid").dropDuplicates(["id", "rid"]).join(asked, ["id", "rid"])
         return held.mapInArrow(_words(window), f"key long, d1 long, d2 long, id {kind}, large boolean, words binary")
 
-    found = _solve(stretches, of_texts, kind, window, prefix_lengths(window), group_limit)
+    found = copies.unionByName(_solve(stretches, of_texts, kind, window, prefix_lengths(window), group_limit))
     repeats = found.groupBy("id", F.col("o1").alias("rid")).agg(F.collect_list(F.struct("at", "n")).alias("repeats"))
     small = profile.select("id", "rid", "n_words", "digest").join(firsts.select("digest", "least"), "digest", "left")
     return (
