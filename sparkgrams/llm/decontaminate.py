@@ -110,6 +110,19 @@ class HammingBlocks:
         return met[apart <= self.radius], apart[apart <= self.radius]
 
 
+    def pairs(self, fingerprints: np.ndarray) -> list[tuple[int, int, int]]:
+        """(which one, fingerprint of the index, distance) within the radius."""
+        if len(self.prints) > SMALL:
+            return [(n, int(i), int(d)) for n, f in enumerate(fingerprints) for i, d in zip(*self.within(f), strict=True)]
+        # few values in each block: all are compared at once
+        apart = np.bitwise_count(fingerprints.view(np.uint16).reshape(-1, 1, 4) ^ self.prints.view(np.uint16).reshape(1, -1, 4))
+        total = apart.sum(axis=2)
+        which, met = np.nonzero((apart <= self.flips).any(axis=2) & (total <= self.radius))
+        return list(zip(which.tolist(), met.tolist(), total[which, met].tolist(), strict=True))
+
+
+#: Fingerprints of one length up to which all values of a block are compared.
+SMALL = 64
 _by_flips: dict[int, np.ndarray] = {}
 
 
@@ -166,13 +179,13 @@ class Items:
                 if g != gram or len(at) < least or span < least:
                     continue
                 starts = np.flatnonzero(held[span:] - held[:-span] >= least)
-                for start, fingerprint in zip(starts.tolist(), fingerprints(words, starts, size), strict=True):
-                    own = shingles[start : start + span]
-                    for item, apart in zip(*index.within(fingerprint), strict=True):
-                        item = int(items[item])
-                        alike = similarity(own, self.shingles[item])
-                        if alike >= self.threshold and (item not in best or alike > best[item][0]):
-                            best[item] = alike, start, size, int(apart)
+                if not len(starts):
+                    continue
+                for n, item, apart in index.pairs(fingerprints(words, starts, size)):
+                    start, item = int(starts[n]), int(items[item])
+                    alike = similarity(shingles[start : start + span], self.shingles[item])
+                    if alike >= self.threshold and (item not in best or alike > best[item][0]):
+                        best[item] = alike, start, size, apart
         return best
 
 

@@ -82,6 +82,7 @@ def test_blocks_find_all_within_the_radius(n, radius):
         found, apart = index.within(own)
         exact = np.bitwise_count(prints ^ own)
         assert found.tolist() == np.flatnonzero(exact <= radius).tolist() and (apart == exact[found]).all()
+        assert [p[1:] for p in index.pairs(np.array([own, own])) if p[0]] == list(zip(found.tolist(), apart.tolist(), strict=True))
 
 
 @pytest.mark.parametrize("size", [15, 25, 40, 60, 120, 400])
