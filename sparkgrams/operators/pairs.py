@@ -1,18 +1,25 @@
-"""Comparison of given pairs of texts: a narrow plan without shuffle."""
+"""Comparison of given pairs of texts: a narrow plan without shuffle.
+
+The k-th occurrence of a gram in a text is a token of its own, so what two texts
+share is the intersection of their tokens. It is taken once for each pair: out of
+an array of one, since filters on what follows from it would else each intersect
+anew, and wherever the optimizer pushes them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import GramConfig, all_grams, diff_grams, gram_map, matches, pad_text, same_grams, similarity
+from ..functions import GramConfig, all_grams, diff_grams, matches, ngrams, pad_text, similarity
 
 
 def compare_pairs(pairs: DataFrame, a: str, b: str, config: GramConfig, warp: float | None = None) -> DataFrame:
     """Adds ``same, all, diff`` and, with a warp, ``similarity`` (double)."""
     padded = {c: pad_text(F.col(c), config) for c in (a, b)}
-    same = same_grams(gram_map(padded[a], config.arity), gram_map(padded[b], config.arity))
-    out = pairs.withColumn("same", same)
+    grams = {f"sorted_grams_{i}": F.sort_array(ngrams(padded[c], config.arity)) for i, c in enumerate((a, b))}
+    same = F.array_size(F.array_intersect(*[_tokens(c) for c in grams])).cast("long")
+    out = pairs.withColumns(grams).withColumn("same", F.explode(F.array(same))).drop(*grams)
     out = out.withColumn("all", all_grams(F.length(padded[a]), F.length(padded[b]), F.col("same"), config.arity))
     out = out.withColumn("diff", diff_grams(F.col("same"), F.col("all")))
     return out if warp is None else out.withColumn("similarity", similarity(F.col("same"), F.col("all"), warp))
@@ -23,3 +30,8 @@ def match_pairs(pairs: DataFrame, a: str, b: str, config: GramConfig, threshold:
     that share nothing too."""
     compared = compare_pairs(pairs, a, b, config, warp)
     return compared.filter(matches(F.col("similarity"), threshold)).select(a, b, "similarity")
+
+
+def _tokens(grams: str) -> Column:
+    """Of a column of sorted grams, each with the number of its occurrence."""
+    return F.transform(grams, lambda g, n: F.concat((n - F.array_position(grams, g)).cast("string"), F.lit(":"), g))

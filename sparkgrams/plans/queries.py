@@ -106,9 +106,10 @@ def matches_threshold_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
 def matches_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of all pairs of names, both ways round: candidates come from the prefix
     join, the comparison is that of given pairs."""
-    near = similarity_join(name_corpus(spark, sf_dir), 0.6).select("a", "b")
+    near = similarity_join(name_corpus(spark, sf_dir), 0.6)
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
     same = names(spark, sf_dir).select(F.col("p_name").alias("a"), F.col("p_name").alias("b"))
-    pairs = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same)
+    pairs = near.select(F.explode(both).alias("pair")).select("pair.a", "pair.b").unionByName(same)
     return match_pairs(pairs, "a", "b", GramConfig(), 0.6).withColumnRenamed("similarity", "sim")
 
 

@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,3 +63,29 @@ def test_inclusive_in_single_precision(spark):
 def test_bound():
     assert jaccard_bound(0.75, 2) == pytest.approx(0.5, abs=2e-5)
     assert jaccard_bound(0.0, 2) == 0 == jaccard_bound(math.nan, 2) == jaccard_bound(0.5, math.nan)
+
+
+def test_pairs_are_intersected_once(spark):
+    """However often a filter speaks of the similarity, and wherever it is pushed."""
+    pairs = spark.createDataFrame([("tomato", "tomacco")], "a string, b string")
+    plan = match_pairs(pairs.join(pairs.select(F.col("b").alias("c")), F.col("b") == F.col("c")), "a", "b", GramConfig(), 0.6)
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("array_intersect") == 1
+    assert text.count("regexp_extract_all") == 2
+
+
+def test_pairs_of_repeats_and_nulls(spark):
+    rows = [("aaaa", "aaa"), ("1:aa", "aa:1"), ("abab", "baba"), ("", ""), (None, "a"), ("a", None), ("ß😏ß", "ß😏")]
+    pairs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, a string, b string")
+    out = compare_pairs(pairs, "a", "b", GramConfig(), 1.0)
+    assert out.columns == ["id", "a", "b", "same", "all", "diff", "similarity"]
+    got = {r.id: (r.same, r["all"], r["diff"]) for r in out.collect()}
+
+    def brute(a, b):
+        if a is None or b is None:
+            return (None, None, None)
+        x, y = (Counter(f" {t} "[i : i + 2] for i in range(len(t) + 1)) for t in (a, b))
+        same, whole = (x & y).total(), (x | y).total()
+        return (same, whole, whole - same)
+
+    assert got == {i: brute(*r) for i, r in enumerate(rows)}
