@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sparkgrams import Corpus, CorpusBuilder, GramConfig, Pad, search_batch, similarity_join
 from sparkgrams.functions import from_pandas, strip_scheme
 from sparkgrams.operators import ngram_rows
+from sparkgrams.plans import queries
 
 UNIGRAM = (1, Pad.none())
 
@@ -128,3 +129,30 @@ def test_pruning_loses_nothing(spark, sf_dir):
         a, b = (set(map(tuple, similarity_join(c, threshold, strategy=s).collect())) for s in ("prefix", "index"))
         assert a == b
     c.unpersist()
+
+
+def test_blocks_lose_nothing(spark, sf_dir):
+    from sparkgrams.operators.blocks import all_pairs, signatures
+
+    words = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("w")).limit(60)
+    odd = spark.createDataFrame([(w,) for w in ("", "a", "aaaa", "aaaaa", "ß😏ß", "ß😏", "https://a.b/c", "https://a.b/d", None)], "w string")
+    c = CorpusBuilder().fill(words.unionByName(odd), "w").finish()
+    c = c.add_ngram(ngram_rows(odd.limit(3), "w", GramConfig(2, Pad.none(), Pad.none()))).cache()
+    for threshold, warp in ((0.0, 2.0), (0.5, 2.0), (0.8, 1.0), (0.8, math.nan)):
+        a, b = (sorted(map(tuple, similarity_join(c, threshold, warp, strategy=s).collect())) for s in ("blocks", "index"))
+        assert a == b
+    # one word of bits: most tokens are in the rest
+    texts = c.words.filter("arity = 2")
+    assert signatures(texts, 2, 1).filter("more > 0").count() > 30
+    a, b = ({(r.a, r.b, r.same, r["all"]) for r in found.collect()} for found in (all_pairs(texts, 2, 0.0, 1), all_pairs(texts, 2, 0.0)))
+    assert a == b and len(a) > 1000
+    c.unpersist()
+
+
+@pytest.mark.parametrize("name", ["url_similarity_join"])
+def test_pairs_of_urls_are_not_shuffled(spark, sf_dir, name):
+    """Each pair is met once, in its cell, and judged there."""
+    plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    above, _, join = plan.partition("Join Inner")
+    assert "Aggregate" not in above and "Repartition" not in above
+    assert "cell" in join.splitlines()[0] and "gram" not in join.splitlines()[0] and "token" not in join.splitlines()[0]
