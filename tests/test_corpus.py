@@ -149,7 +149,7 @@ def test_blocks_lose_nothing(spark, sf_dir):
     c.unpersist()
 
 
-@pytest.mark.parametrize("name", ["url_similarity_join"])
+@pytest.mark.parametrize("name", ["url_similarity_join", "url_similarity_join_pruned"])
 def test_pairs_of_urls_are_not_shuffled(spark, sf_dir, name):
     """Each pair is met once, in its cell, and judged there."""
     plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
